@@ -1,0 +1 @@
+"""Left empty on purpose: the workload is a monthly batch, no operator is a stream operator."""
