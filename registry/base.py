@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from snapmart.sources.snapshots import shared_folder, write_table
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -54,6 +56,13 @@ def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
     return df.withColumns({n: F.round(n, digits) for n in names})
 
 
+def saved(df):
+    """Write a table to the shared folder and read it back, as the monthly job does."""
+    path = shared_folder(df.sparkSession)
+    write_table(df, path)
+    return df.sparkSession.read.parquet(path)
+
+
 # ---- inputs that both engines derive with the same SQL ---------------------------------------
 
 INPUTS = {

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from registry.base import derive, query, rounded, table, with_inputs
+from registry.base import derive, query, rounded, saved, table, with_inputs
 from snapmart.functions import text
 from snapmart.operators import features as feat
 from snapmart.operators.columns import zero_fill
@@ -53,7 +53,7 @@ def encode(spark, sf_dir):
     """Three text columns indexed by frequency."""
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_brand", "p_name")
     columns = {"p_type": "type_index", "p_brand": "brand_index", "p_name": "name_index"}
-    indexes = feat.fit_indexes(parts, list(columns))
+    indexes = saved(feat.fit_indexes(parts, list(columns)))
     return feat.encode(parts, indexes, columns).drop(*columns)
 
 
@@ -82,7 +82,7 @@ def encode_keep(spark, sf_dir):
         "Customer_ID", "snapshot_date",
         text.null_if(F.col("Credit_Mix"), text.EMPTY_SENTINEL).alias("mix"),
     )
-    return feat.encode(rows, feat.fit_indexes(rows, ["mix"]), {"mix": "mix_index"})
+    return feat.encode(rows, saved(feat.fit_indexes(rows, ["mix"])), {"mix": "mix_index"})
 
 
 @query(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from registry.base import derive, query, rounded, with_inputs
+from registry.base import derive, query, rounded, saved, with_inputs
 from registry.evaluation import AUC_SQL, CONFUSION_SQL, RATES_SQL, STABILITY_SQL
 from snapmart.operators import alerts as rules
 from snapmart.operators.drift import drift_summary, high_drift, severity_counts, top_drift
@@ -251,10 +251,11 @@ RULES_SQL = {
     ),
 )
 def alerting(spark, sf_dir):
-    """All monitoring rules over performance, drift and stability."""
+    """All monitoring rules over saved performance, drift and stability."""
     scored = derive(spark, sf_dir, "scored")
     table = rules.alerts(
-        performance(scored, ["snapshot_date"]), _drift(spark, sf_dir), stability(scored)
+        saved(performance(scored, ["snapshot_date"])), saved(_drift(spark, sf_dir)),
+        saved(stability(scored)),
     )
     return rounded(table, "value")
 
@@ -290,7 +291,8 @@ def alerting(spark, sf_dir):
 def report(spark, sf_dir):
     scored = derive(spark, sf_dir, "scored")
     table = rules.report_rows(
-        performance(scored, ["snapshot_date"]), _drift(spark, sf_dir), stability(scored)
+        saved(performance(scored, ["snapshot_date"])), saved(_drift(spark, sf_dir)),
+        saved(stability(scored)),
     )
     return rounded(table, "value")
 

@@ -100,9 +100,9 @@ def normalized_items(items: Column) -> Column:
 
 
 def without_placeholder(items: Column, placeholder: str = NOT_SPECIFIED) -> Column:
-    """Drop the placeholder where it stands beside other items; an empty list becomes [placeholder]."""
-    kept = F.when(F.size(items) > 1, F.filter(items, lambda item: item != placeholder)).otherwise(items)
-    return F.when(F.size(kept) == 0, F.array(F.lit(placeholder))).otherwise(kept)
+    """Drop the placeholder, unless nothing else is listed: then the list is [placeholder]."""
+    listed = F.filter(items, lambda item: item != placeholder)
+    return F.when(F.size(listed) == 0, F.array(F.lit(placeholder))).otherwise(listed)
 
 
 def item_list(c: Column, separator: str = ",", placeholder: str = NOT_SPECIFIED) -> Column:

@@ -56,6 +56,7 @@ def with_range(df: DataFrame, name: str, cuts: Sequence[float], out: str = "_ran
         Bucketizer(splits=splits, inputCol="_order", outputCol=out, handleInvalid="keep")
         .transform(df.withColumn("_order", order_value(df, name)))
         .drop("_order")
+        .withColumn(out, F.col(out).cast("int"))
     )
 
 

@@ -90,15 +90,16 @@ def run_monitoring(
         "prediction_stability": stability_history(predictions, run_date),
         "feature_drift": drift_table(store, feature_columns(store, IDS), run_date),
     }
+    metrics = {}
     for name, table in tables.items():
         stamped = stamp(table, monitoring_date=monitoring_date, run_date=run)
-        write_snapshots(stamped, f"{lake}/monitoring/{name}", "run_date")
+        path = f"{lake}/monitoring/{name}"
+        write_snapshots(stamped, path, "run_date")
+        metrics[name] = read_snapshots(spark, path, schema=stamped.schema)
 
-    quality = newest_run(read_snapshots(spark, f"{lake}/monitoring/performance_metrics"))
-    scores = newest_run(read_snapshots(spark, f"{lake}/monitoring/prediction_stability"))
-    newest_drift = latest_snapshot(
-        read_snapshots(spark, f"{lake}/monitoring/feature_drift"), "run_date"
-    )
+    quality = newest_run(metrics["performance_metrics"])
+    scores = newest_run(metrics["prediction_stability"])
+    newest_drift = latest_snapshot(metrics["feature_drift"], "run_date")
     found = availability(
         {"performance_metrics": quality, "feature_drift": newest_drift,
          "prediction_stability": scores}

@@ -83,7 +83,7 @@ def run_training(
     labels = read_snapshots(spark, f"{lake}/gold/label_store")
     names = list(features or feature_columns(store, IDS))
     write_table(training_set(store, labels), f"{lake}/gold/training_set")
-    data = spark.read.parquet(f"{lake}/gold/training_set").fillna(0, names)
+    data = spark.read.parquet(f"{lake}/gold/training_set")
     models, quality = train_models(data, names, grids=grids, folds=folds)
     write_table(quality, f"{lake}/gold/model_quality")
     best = choose_model(
@@ -102,8 +102,7 @@ def run_scoring(
 ) -> None:
     """Score the features of one snapshot; without features for it, nothing is written."""
     model = load_model(f"{lake}/models/current")
-    names = model.stages[0].getInputCols()
-    rows = at_snapshot(read_snapshots(spark, f"{lake}/gold/feature_store"), on).fillna(0, names)
+    rows = at_snapshot(read_snapshots(spark, f"{lake}/gold/feature_store"), on)
     write_snapshots(
         score(model, rows, IDS, model_version, prediction_date), f"{lake}/gold/predictions"
     )
