@@ -8,6 +8,7 @@ how even the tasks are.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -46,12 +47,14 @@ def cut_points(df: DataFrame, name: str, parts: int | None = None) -> list[float
     values = df.select(order_value(df, name).alias("v")).filter(
         F.col("v").isNotNull() & ~F.isnan("v")
     )
-    return sorted(set(values.approxQuantile("v", probabilities, 1 / (2 * parts))))
+    points = values.approxQuantile("v", probabilities, 1 / (2 * parts))
+    return sorted({p for p in points if math.isfinite(p)})
 
 
 def with_range(df: DataFrame, name: str, cuts: Sequence[float], out: str = "_range") -> DataFrame:
     """Number the range between cut points that each value lies in (NULL gets one of its own)."""
-    splits = [float("-inf"), *cuts, float("inf")]
+    # a bucketizer wants one cut at least; where it lies does not matter
+    splits = [float("-inf"), *(cuts or [0.0]), float("inf")]
     return (
         Bucketizer(splits=splits, inputCol="_order", outputCol=out, handleInvalid="keep")
         .transform(df.withColumn("_order", order_value(df, name)))
