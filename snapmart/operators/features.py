@@ -164,8 +164,11 @@ def multi_hot(
     holds = {v: F.coalesce(F.array_contains(name, v), F.lit(False)).cast("int") for v in values}
     if keys is None:
         return df.withColumns(holds)
-    merged = df.groupBy(*keys).agg(*[F.max(c).alias(v) for v, c in holds.items()])
-    return df.join(merged, list(keys), "left").select(*df.columns, *values)
+    merged = df.groupBy(*keys).agg(*[F.max(c).alias(f"_{v}") for v, c in holds.items()])
+    # a row without a key has no one to share with and keeps its own values
+    return df.join(merged, list(keys), "left").select(
+        *df.columns, *[F.coalesce(F.col(f"`_{v}`"), c).alias(v) for v, c in holds.items()]
+    )
 
 
 def pivot_flags(df: DataFrame, keys: Sequence[str], name: str, values: Sequence[str]) -> DataFrame:

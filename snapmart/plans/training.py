@@ -31,9 +31,8 @@ KEYS = ["loan_id", "Customer_ID", "snapshot_date"]
 IDS = ["Customer_ID", "loan_id", "feature_snapshot_date", "snapshot_date"]
 
 
-def training_set(
-    features: DataFrame,
-    labels: DataFrame,
+def split_set(
+    paired: DataFrame,
     keys: Sequence[str] = KEYS,
     label: str = "label",
     date_col: str = "snapshot_date",
@@ -41,18 +40,25 @@ def training_set(
     share: float = 0.2,
     seed: int = SEED,
 ) -> DataFrame:
-    """Features paired with labels by key, with a ``split`` column: train, test or oot.
+    """Labelled rows of the last ``months`` months with a ``split`` column: train, test or oot.
 
-    The newest month of the window is out of time; the others are split by class.
+    The newest month is out of time; the others are split by class.
     """
-    paired = time_holdout(pair_labels(features, labels, keys, label), date_col, months)
+    recent = time_holdout(paired, date_col, months)
     in_time = F.col("period") == "development"
-    development = stratified_split(paired.filter(in_time), label, keys, share, seed)
+    development = stratified_split(recent.filter(in_time), label, keys, share, seed)
     return development.unionByName(
-        paired.filter(~in_time).withColumn("split", F.lit("oot"))
+        recent.filter(~in_time).withColumn("split", F.lit("oot"))
     ).drop("period")
 
 
+def training_set(
+    features: DataFrame, labels: DataFrame, keys: Sequence[str] = KEYS, label: str = "label"
+) -> DataFrame:
+    """Features paired with labels by key and split."""
+    return split_set(pair_labels(features, labels, keys, label), keys, label)
+
+
 def train_models(
     data: DataFrame,
     features: Sequence[str],
@@ -82,7 +88,10 @@ def run_training(
     store = read_snapshots(spark, f"{lake}/gold/feature_store")
     labels = read_snapshots(spark, f"{lake}/gold/label_store")
     names = list(features or feature_columns(store, IDS))
-    write_table(training_set(store, labels), f"{lake}/gold/training_set")
+    # splitting looks at the pairs several times, so they are joined once and saved
+    write_table(pair_labels(store, labels, KEYS), f"{lake}/gold/labelled_features")
+    pairs = spark.read.parquet(f"{lake}/gold/labelled_features")
+    write_table(split_set(pairs), f"{lake}/gold/training_set")
     data = spark.read.parquet(f"{lake}/gold/training_set")
     models, quality = train_models(data, names, grids=grids, folds=folds)
     write_table(quality, f"{lake}/gold/model_quality")
