@@ -42,11 +42,12 @@ def fit_indexes(df: DataFrame, names: Sequence[str]) -> DataFrame:
 
     All columns are counted in one pass. The values of a column are ranked by (count, value)
     without one task that sorts them all: equally frequent values are cut into alphabetical
-    ranges at a sample of the values.
+    ranges at a sample of the values. What one task sees per column are the distinct counts and
+    their ranges; there can be no more distinct counts than the square root of twice the rows.
     """
     pairs = df.select(
         F.inline(
-            F.array(*[F.struct(F.lit(n).alias("column"), F.col(n).alias("value")) for n in names])
+            F.array(*[F.struct(F.lit(n).alias("column"), F.col(n).cast("string").alias("value")) for n in names])
         )
     )
     counts = (
@@ -106,7 +107,7 @@ def encode(
         lookup = indexes.filter(F.col("column") == name).select(
             F.col("value").alias("_value"), F.col("index").alias("_index")
         )
-        df = df.join(lookup, F.col(name) == F.col("_value"), "left").select(
+        df = df.join(lookup, F.col(name).cast("string") == F.col("_value"), "left").select(
             *df.columns, F.coalesce("_index", F.lit(known.get(name, 0.0))).alias(out)
         )
     return df

@@ -158,8 +158,16 @@ def union_snapshots(*tables: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new path in the shared folder that the session names; a local one only if it names none."""
+    """A new path in the shared folder that the session names.
+
+    Only a local session that names none gets a local folder: on a cluster the machines would not
+    see the same files.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
-    return f"{base or tempfile.mkdtemp(prefix='snapmart-')}/{uuid.uuid4().hex}"
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        base = tempfile.mkdtemp(prefix="snapmart-")
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
