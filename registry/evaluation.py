@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from registry.base import derive, query, rounded, table, with_inputs
 from snapmart.operators import evaluation
