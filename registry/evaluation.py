@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-
 from registry.base import derive, query, rounded, table, with_inputs
 from snapmart.operators import evaluation
 from snapmart.operators.stability import stability

@@ -79,7 +79,11 @@ def asof_unmatched(spark, sf_dir):
     ),
 )
 def point_in_time_months(spark, sf_dir):
-    """Each customer month with all months of the customer up to it."""
+    """Each customer month with all months of the customer up to it.
+
+    Orders are merged to one row per customer and month first, so a customer with very many orders
+    still yields at most half the square of the number of months.
+    """
     months = derive(spark, sf_dir, "customer_months")
     earlier = months.select(
         "cust", F.col("snapshot_date").alias("earlier_date"), F.col("spent").alias("earlier_spent")
