@@ -17,19 +17,25 @@ def token_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _seeds(tokens: Column, at: Column, masks: tuple[str, ...]) -> list[Column]:
-    """One hash per mask for the window that starts at ``at``; null where it does not fit."""
+def _seeds(tokens: Column, at: Column, masks: tuple[str, ...], whole: tuple[str, ...]) -> list[Column]:
+    """One hash per mask for the window that starts at ``at``; null where it does not fit.
+
+    The masks in ``whole`` are meant for texts of just their length.
+    """
     out = []
     for k, mask in enumerate(masks):
         picked = [F.get(tokens, at + j) for j, bit in enumerate(mask) if bit == "1"]
-        out.append(F.when(at + len(mask) <= F.size(tokens), F.xxhash64(F.lit(k), *picked)))
+        fits = F.size(tokens) == len(mask) if mask in whole else at + len(mask) <= F.size(tokens)
+        out.append(F.when((at + len(mask) <= F.size(tokens)) & fits, F.xxhash64(F.lit(k), *picked)))
     return out
 
 
-def _windows(df: DataFrame, keep: list[str], masks: tuple[str, ...], place: str) -> DataFrame:
+def _windows(
+    df: DataFrame, keep: list[str], masks: tuple[str, ...], place: str, whole: tuple[str, ...] = ()
+) -> DataFrame:
     """A row per window and mask: ``keep``, the window's first token and its seed."""
     at = df.select(*keep, F.posexplode("tokens").alias(place, "_"))
-    seeds = F.explode(F.array(*_seeds(F.col("tokens"), F.col(place), masks)))
+    seeds = F.explode(F.array(*_seeds(F.col("tokens"), F.col(place), masks, whole)))
     return at.select(*keep, place, seeds.alias("seed")).filter("seed is not null")
 
 
@@ -60,9 +66,10 @@ def contaminated(
     span = max(map(len, masks))
     lengths = items.filter(F.size("tokens") < span).select(F.size("tokens").alias("n")).distinct()
     short = {r.n: "1" * r.n for r in lengths.collect()}  # at most as many as a mask is long
-    every = (*masks, *(short[n] for n in sorted(short)))
+    whole = tuple(short[n] for n in sorted(short))
+    every = (*masks, *whole)
     seeds = stored(
-        _windows(items, ["item", "tokens"], every, "item_at").select("item", "item_at", "seed").distinct()
+        _windows(items, ["item", "tokens"], every, "item_at", whole).select("item", "item_at", "seed").distinct()
     )
     small = seeds.count() <= broadcast_rows
     near = F.broadcast if small else (lambda df: df)
