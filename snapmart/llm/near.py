@@ -2,8 +2,10 @@
 
 Units are distinct sets. Candidates share a band. A candidate pair passes a sequential Bayesian
 test on its signatures, then an exact comparison of both full sets. No bucket is expanded into all
-its pairs: every member is compared with the least member of its buckets first; what these links
-leave apart is compared in full in small buckets, and by an exact prefix join in large ones.
+its pairs: every member is first compared with the heads of its buckets, where a bucket's head is
+the member that meets most others over all of its own buckets, so the middle of a group of copies.
+What these links leave apart is compared in full in small buckets, and by an exact prefix join in
+large ones.
 """
 
 from __future__ import annotations
@@ -143,16 +145,22 @@ def near_groups(units: DataFrame, sets_of: Callable[[DataFrame], DataFrame], rul
     ``sets_of(df of unit)`` gives those units' sets: unit, set (binary, sorted 64-bit values).
     """
     keyed = units.select("unit", F.explode("keys").alias("key"))
-    heads = keyed.groupBy("key").agg(F.min("unit").alias("head"), F.count(F.lit(1)).alias("members"))
-    crowd = stored(keyed.join(heads.filter("members > 1"), "key"))
+    members = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    crowd = stored(keyed.join(members, "key"))
+    weights = crowd.groupBy("unit").agg(F.sum("members").alias("weight"))
+    crowd = crowd.join(weights, "unit")
+    heads = crowd.groupBy("key").agg(F.max(F.struct("weight", "unit")).alias("head"))
+    crowd = stored(crowd.drop("weight").join(heads, "key"))
     there = crowd.select("unit").distinct()
     sets = stored(sets_of(there))
     units = units.drop("keys")
     if "sig" in units.columns:
         units = stored(units.join(there, "unit"))
 
-    stars = crowd.filter("unit != head")
-    first = stored(stars.groupBy(F.col("unit").alias("b")).agg(F.min("head").alias("a")).select("a", "b"))
+    stars = crowd.filter("unit != head.unit")
+    first = stored(stars.groupBy(F.col("unit").alias("b")).agg(F.max("head").alias("h")).select(
+        F.col("h.unit").alias("a"), "b"))
+    stars = stars.select("unit", F.col("head.unit").alias("head"))
     links = _verified(first, units, sets, rule)
     labels = components(links)
 
