@@ -72,8 +72,8 @@ def fit_indexes(df: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def _sample_values(df: DataFrame, name: str) -> list[str]:
-    """A few dozen values picked by their hash, in order: one per hash residue, nothing more."""
-    parts = min(64, default_parts(df.sparkSession))
+    """Values picked by their hash, in order: one per shuffle partition, so that ranges grow with it."""
+    parts = default_parts(df.sparkSession)
     picked = (
         df.groupBy(F.pmod(F.xxhash64(name), F.lit(parts)).alias("_part"))
         .agg(F.min_by(name, F.xxhash64(F.lit(1), F.col(name))).alias("_value"))

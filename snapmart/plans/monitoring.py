@@ -12,17 +12,23 @@ from snapmart.operators.alerts import alerts, availability, report_rows
 from snapmart.operators.columns import feature_columns, stamp
 from snapmart.operators.drift import drift
 from snapmart.operators.evaluation import performance
-from snapmart.operators.stability import newest_run, stability
+from snapmart.operators.stability import stability
 from snapmart.plans.training import IDS
 from snapmart.sources.snapshots import (
     at_snapshot,
-    latest_snapshot,
+    read_or_empty,
     read_snapshots,
     within_months_before,
     write_snapshots,
     write_table,
 )
 
+#: the least columns of the tables that a new lake may lack
+PREDICTIONS = """Customer_ID string, loan_id string, feature_snapshot_date date, prediction int,
+    probability double, model_version string, prediction_date timestamp, snapshot_date date"""
+LABELS = "loan_id string, Customer_ID string, label int, snapshot_date date"
+FEATURES = "Customer_ID string, loan_id string, no_feature double, feature_snapshot_date date, snapshot_date date"
+
 # Months looked back, months until labels are known, distance of the drift baseline.
 MONTHS, LABEL_LAG, BASELINE_MONTHS = 6, 2, 6
 
@@ -79,10 +85,13 @@ def stability_history(
 def run_monitoring(
     spark: SparkSession, lake: str, run_date: date | str, monitoring_date: datetime
 ) -> None:
-    """Write the metric tables of one run, then alerts and report rows from the newest metrics."""
-    predictions = read_snapshots(spark, f"{lake}/gold/predictions")
-    labels = read_snapshots(spark, f"{lake}/gold/label_store")
-    store = read_snapshots(spark, f"{lake}/gold/feature_store")
+    """Write the metric tables of one run, then alerts and report rows from that run's metrics.
+
+    A table that does not exist yet counts as empty, and so do the metrics that follow from it.
+    """
+    predictions = read_or_empty(spark, f"{lake}/gold/predictions", PREDICTIONS)
+    labels = read_or_empty(spark, f"{lake}/gold/label_store", LABELS)
+    store = read_or_empty(spark, f"{lake}/gold/feature_store", FEATURES)
     run = F.lit(run_date).cast("date")
 
     tables = {
@@ -97,9 +106,10 @@ def run_monitoring(
         write_snapshots(stamped, path, "run_date")
         metrics[name] = read_snapshots(spark, path, schema=stamped.schema)
 
-    quality = newest_run(metrics["performance_metrics"])
-    scores = newest_run(metrics["prediction_stability"])
-    newest_drift = latest_snapshot(metrics["feature_drift"], "run_date")
+    metrics = {name: at_snapshot(table, run_date, "run_date") for name, table in metrics.items()}
+    quality = metrics["performance_metrics"]
+    scores = metrics["prediction_stability"]
+    newest_drift = metrics["feature_drift"]
     found = availability(
         {"performance_metrics": quality, "feature_drift": newest_drift,
          "prediction_stability": scores}

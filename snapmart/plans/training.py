@@ -22,11 +22,14 @@ from snapmart.operators.modeling import (
 )
 from snapmart.sources.snapshots import (
     at_snapshot,
+    newest_date,
     read_snapshots,
+    within_months_before,
     write_snapshots,
     write_table,
 )
 
+MONTHS = 18
 KEYS = ["loan_id", "Customer_ID", "snapshot_date"]
 IDS = ["Customer_ID", "loan_id", "feature_snapshot_date", "snapshot_date"]
 
@@ -36,7 +39,7 @@ def split_set(
     keys: Sequence[str] = KEYS,
     label: str = "label",
     date_col: str = "snapshot_date",
-    months: int = 18,
+    months: int = MONTHS,
     share: float = 0.2,
     seed: int = SEED,
 ) -> DataFrame:
@@ -85,8 +88,12 @@ def run_training(
     features: Sequence[str] | None = None,
 ) -> str:
     """Train on the gold stores and save the better model. Returns its kind."""
-    store = read_snapshots(spark, f"{lake}/gold/feature_store")
-    labels = read_snapshots(spark, f"{lake}/gold/label_store")
+    # the newest date first, so that both scans read only the months that can be in the set
+    newest = newest_date(read_snapshots(spark, f"{lake}/gold/label_store"))
+    labels = within_months_before(
+        read_snapshots(spark, f"{lake}/gold/label_store"), newest, MONTHS)
+    store = within_months_before(
+        read_snapshots(spark, f"{lake}/gold/feature_store"), newest, MONTHS)
     names = list(features or feature_columns(store, IDS))
     # splitting looks at the pairs several times, so they are joined once and saved
     write_table(pair_labels(store, labels, KEYS), f"{lake}/gold/labelled_features")

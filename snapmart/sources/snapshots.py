@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from datetime import date
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,9 +54,12 @@ def write_snapshots(
     date_col: str = "snapshot_date",
     format: str = "parquet",
     rows: Observation | None = None,
+    whole: bool = False,
 ) -> None:
     """Write every snapshot in ``df``, replacing those dates only and keeping all others.
 
+    With ``whole`` the table holds nothing but ``df`` afterwards: dates without rows any more go.
+
     The rebalance hint shuffles by date and lets adaptive execution split a date that holds much
     of the rows over many tasks and merge small ones, so that files come out evenly sized.
     """
@@ -64,7 +68,7 @@ def write_snapshots(
     writer = (
         df.hint("rebalance", F.col(date_col))
         .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
+        .option("partitionOverwriteMode", "static" if whole else "dynamic")
         .partitionBy(date_col)
     )
     if format == "csv":
@@ -79,6 +83,22 @@ def write_table(df: DataFrame, path: str, rows: Observation | None = None) -> No
     df.write.mode("overwrite").parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a table can be read at ``path``."""
+    try:
+        spark.read.parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return False
+    return True
+
+
+def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The table at ``path``, or an empty one with ``schema`` if there is none."""
+    return spark.read.parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
+
+
 def first_of_month(column: Column | str) -> Column:
     column = F.col(column) if isinstance(column, str) else column
     return F.trunc(column.cast("date"), "MM")

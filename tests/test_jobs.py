@@ -9,6 +9,7 @@ from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from registry.base import derive
+from snapmart.operators import modeling
 from snapmart.plans import extraction, monitoring, training
 from snapmart.sources import schemas
 from snapmart.sources import snapshots as snap
@@ -66,6 +67,30 @@ def test_rerun_of_one_month_changes_nothing(spark, lake):
     assert sorted(map(str, again.collect())) == rows
 
 
+def test_month_by_month_equals_a_backfill(spark, lake, tmp_path):
+    folder, paths = lake
+    extraction.run_extraction(spark, paths, str(tmp_path), end="1997-12-01")
+    extraction.run_extraction(spark, paths, str(tmp_path), start="1998-01-01")
+    for name in ("financials", "attributes", "combined_features", "label_store", "feature_store"):
+        once, twice = read(spark, folder, f"gold/{name}"), read(spark, str(tmp_path), f"gold/{name}")
+        assert sorted(once.columns) == sorted(twice.columns)
+        twice = twice.select(*[f"`{c}`" for c in once.columns])
+        assert once.exceptAll(twice).count() == 0 and twice.exceptAll(once).count() == 0
+
+
+def test_monitoring_of_a_new_lake(spark, tmp_path):
+    monitoring.run_monitoring(spark, str(tmp_path), "2001-05-01", datetime(2001, 7, 1))
+    found = {r["table_name"]: r["has_data"] for r in read(spark, tmp_path, "monitoring/availability").collect()}
+    assert found == {"performance_metrics": False, "prediction_stability": False, "feature_drift": False}
+    assert read(spark, tmp_path, "monitoring/alerts").count() == 0
+
+
+def test_too_deep_trees_are_an_error(spark):
+    rows = spark.sql("select id, cast(id % 2 as int) as label, double(id) as x from range(40)")
+    with pytest.raises(ValueError, match="30"):
+        modeling.train(rows, ["x"], ["id"], "forest", grid={"numTrees": [2], "maxDepth": [50]}, folds=2)
+
+
 def test_training_scoring_monitoring(spark, lake):
     folder, _ = lake
     best = training.run_training(spark, folder, GRIDS, folds=2)
