@@ -161,7 +161,7 @@ def _traverse(order: int, types: int, tokens: int, priors: tuple[float, ...]):
 
 
 def scored(
-    docs: DataFrame, order: int = 2, priors: tuple[float, ...] = PRIORS, block_bytes: int = 16 << 20
+    docs: DataFrame, order: int = 2, priors: tuple[float, ...] = PRIORS, block_bytes: int = 6 << 20
 ) -> DataFrame:
     """Log10 probability of every row of ``docs(doc_id, text)`` under a model of the training rows.
 
