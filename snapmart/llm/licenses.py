@@ -62,15 +62,22 @@ def standard_templates(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(TEMPLATES.items()), "license string, text string")
 
 
-def word_pairs(text: Column) -> Column:
-    """The set of pairs of neighbouring words (runs of a-z and 0-9, A-Z lower-cased), as hashes."""
-    words = F.array_remove(F.split(ascii_lower(text), "[^a-z0-9]+"), "")
-    hashed = F.transform(words, lambda w: F.xxhash64(w))
+def _with_pairs(df: DataFrame, text: str, least: int = 1) -> DataFrame:
+    """``df`` with ``pairs``: the set of pairs of neighbouring words of ``text``, as hashes.
+
+    Words are runs of a-z and 0-9, A-Z lower-cased; rows with fewer than ``least`` pairs go early.
+    The explodes of one array make Spark work out each step once, where it would put the whole
+    expression into every place that uses it.
+    """
+    words = F.array_remove(F.split(ascii_lower(F.col(text)), "[^a-z0-9]+"), "")
+    hashed = F.explode(F.array(F.transform(words, lambda w: F.xxhash64(w)))).alias("words")
+    df = df.select(*df.columns, hashed).filter(F.size("words") > least)
     pairs = F.zip_with(
-        F.slice(hashed, 1, F.greatest(F.size(hashed) - 1, F.lit(0))), F.slice(hashed, 2, F.size(hashed)),
+        F.slice("words", 1, F.size("words") - 1), F.slice("words", 2, F.size("words")),
         lambda a, b: F.xxhash64(a, b),
     )
-    return F.when(F.size(hashed) > 1, F.array_distinct(pairs)).otherwise(F.expr("cast(array() as array<bigint>)"))
+    kept = [c for c in df.columns if c != "words"]
+    return df.select(*kept, F.explode(F.array(F.array_distinct(pairs))).alias("pairs"))
 
 
 def license_matches(
@@ -89,9 +96,8 @@ def license_matches(
     count as one document, templates that share a name as one licence. Null and empty texts match
     nothing; empty tables give an empty result; other columns are ignored.
     """
-    known = templates.select(
-        F.col("license"), F.xxhash64("license", "text").alias("template"), word_pairs(F.col("text")).alias("pairs")
-    ).filter(F.size("pairs") > 0).dropDuplicates(["template"])
+    named = templates.select(F.col("license"), F.col("text"), F.xxhash64("license", "text").alias("template"))
+    known = _with_pairs(named, "text").dropDuplicates(["template"])
     t = F.col("size")
     known = stored(known.select(
         "license", "template", F.size("pairs").alias("size"), F.explode("pairs").alias("pair")
@@ -106,8 +112,9 @@ def license_matches(
         F.array(text), F.split(text, r"\n[ \t\r]*\n"), F.split(text, r"\n"), F.split(text, r"(?<=[.!?])\s+")
     ))
     each = docs.select(F.col("doc_id"), F.explode(units).alias("unit")).filter(F.length("unit") > 2)
-    sized = each.select("doc_id", F.xxhash64("unit").alias("unit"), word_pairs(F.col("unit")).alias("pairs"))
-    sized = sized.withColumn("n", F.size("pairs")).filter(F.col("n").between(bounds[0] or 0, bounds[1] or 0))
+    sized = _with_pairs(each.withColumn("id", F.xxhash64("unit")), "unit", max(bounds[0] or 1, 1)).select(
+        "doc_id", F.col("id").alias("unit"), F.size("pairs").alias("n"), "pairs"
+    ).filter(F.col("n").between(bounds[0] or 0, bounds[1] or 0))
     rows = sized.select("doc_id", "unit", "n", F.explode("pairs").alias("pair"))
     fits = (rows.pair == known.pair) & rows.n.between(known.least, known.most)
     common = rows.join(near(known), fits).groupBy("doc_id", "unit", "n", "license", "template", "size").agg(
