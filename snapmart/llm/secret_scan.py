@@ -26,26 +26,28 @@ def _codes(run: Column) -> Column:
     return F.transform(F.split(run, ""), lambda c: F.get(F.lit(place), F.ascii(c)))
 
 
-def _spans(text: Column, pattern: str, rank: int, keep=None) -> Column:
-    """Spans of the matches for which ``keep(match, index)`` holds, in code points."""
+def _spans(text: Column, pattern: str, rank: int, keep=None, value: int = 0) -> Column:
+    """Spans of the matches for which ``keep`` holds of the group ``value``, in code points.
+
+    Matches and the gaps before them are walked side by side, so a text costs one pass.
+    """
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
+    groups = [matches, F.split(text, pattern, -1)]
+    if value:
+        groups.append(F.regexp_extract_all(text, F.lit(pattern), F.lit(value)))
     start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {_SPANS})").alias("found"))
 
-    def step(acc: Column, i: Column) -> Column:
-        match = F.get(matches, i)
-        first = acc.at + F.length(F.get(gaps, i))
-        last = first + F.length(match)
+    def step(acc: Column, x: Column) -> Column:
+        first = acc.at + F.length(x["1"])
+        last = first + F.length(F.coalesce(x["0"], F.lit("")))  # no match after the last gap
         span = F.array(F.struct(first.alias("start"), F.lit(rank).alias("rank"), last.alias("end")))
-        found = F.concat(acc.found, span)
+        wanted = x["0"].isNotNull()
         if keep is not None:
-            found = F.when(keep(match, i), found).otherwise(acc.found)
+            wanted = wanted & keep(x["2" if value else "0"])
+        found = F.when(wanted, F.concat(acc.found, span)).otherwise(acc.found)
         return F.struct(last.alias("at"), found.alias("found"))
 
-    indexes = F.sequence(F.lit(0), F.size(matches) - 1)
-    return F.when(F.size(matches) > 0, F.aggregate(indexes, start, step).found).otherwise(
-        F.expr(f"cast(array() as {_SPANS})")
-    )
+    return F.aggregate(F.arrays_zip(*groups), start, step).found
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
@@ -56,11 +58,10 @@ def base_spans(docs: DataFrame) -> DataFrame:
     matches, since a match is always a whole run.
     """
     text = F.col("text")
-    values = F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2))
     none = F.expr(f"cast(array() as {_SPANS})")
-    long_value = lambda match, i: F.length(F.get(values, i)) >= 8
+    long_value = lambda v: F.length(v) >= 8
     return docs.withColumns({
-        "assign": F.when(text.rlike(ASSIGN), _spans(text, ASSIGN, 0, long_value)).otherwise(none),
+        "assign": F.when(text.rlike(ASSIGN), _spans(text, ASSIGN, 0, long_value, value=2)).otherwise(none),
         "access": F.when(text.rlike(ACCESS), _spans(text, ACCESS, 1)).otherwise(none),
         "hex": F.when(text.rlike(HEX), _spans(text, HEX, 2)).otherwise(none),
     })
@@ -132,7 +133,7 @@ def random_runs(text: Column, model: list[float], least: float = 12.0, per_chara
     """
     size, table = len(ALPHABET), F.lit(model)
 
-    def looks_random(match: Column, _: Column) -> Column:
+    def looks_random(match: Column) -> Column:
         codes = _codes(match)
         state = F.struct(F.lit(-1).alias("c"), F.lit(0.0).alias("sum"))
 
