@@ -39,6 +39,26 @@ def _windows(
     return at.select(*keep, place, seeds.alias("seed")).filter("seed is not null")
 
 
+def _overlap() -> list[Column]:
+    """The document's tokens where the item lies on it, the item's own there, and the item's length."""
+    n = F.size("wanted")
+    cut = F.greatest(-F.col("shift"), F.lit(0))  # of the item's tokens before the document's start
+    length = F.greatest(n - cut, F.lit(0))
+    there = F.slice("tokens", F.greatest(F.col("shift"), F.lit(0)) + 1, length)
+    return [there.alias("there"), F.slice("wanted", cut + 1, length).alias("here"), n.alias("n")]
+
+
+def _best() -> Column:
+    """The greatest sum of ``width`` neighbours in ``equal``; what lies outside counts 0."""
+    def step(acc: Column, k: Column) -> Column:
+        gone = F.when(k >= F.col("width"), F.get("equal", F.greatest(k - F.col("width"), F.lit(0)))).otherwise(0)
+        now = acc.now + F.get("equal", k) - gone
+        return F.struct(now.alias("now"), F.greatest(acc.best, now).alias("best"))
+
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("best"))
+    return F.aggregate(F.sequence(F.lit(0), F.size("equal") - 1), start, step).best
+
+
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, window: int = 20,
     share: int = 80, least_tokens: int = 5, broadcast_rows: int = 1_000_000,
@@ -74,31 +94,27 @@ def contaminated(
     small = seeds.count() <= broadcast_rows
     near = F.broadcast if small else (lambda df: df)
 
-    source = docs.select(F.col("doc_id"), token_hashes(F.col("text")).alias("tokens"))
-    hits = (
-        _windows(source, ["doc_id", "tokens"], every, "at")
+    # the hash of a row only names candidates; what is reported is compared token by token
+    source = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
+    hits = stored(
+        _windows(source.select("key", token_hashes(F.col("text")).alias("tokens")), ["key", "tokens"], every, "at")
         .join(near(seeds), "seed")
-        .select("doc_id", "tokens", "item", (F.col("at") - F.col("item_at")).alias("shift"))
-        .join(near(items.select("item", "item_id", F.col("tokens").alias("wanted"))), "item")
+        .select("key", "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
     )
-    equal = F.transform(
-        F.sequence(F.lit(0), F.size("wanted") - 1),
-        lambda k: F.when(
-            (F.col("shift") + k >= 0) & (F.get("tokens", F.greatest(F.col("shift") + k, F.lit(0))) == F.get("wanted", k)), 1
-        ).otherwise(0),
+    wanted = items.select("item", "item_id", F.col("tokens").alias("wanted"))
+    found = source.join(hits.select("key").distinct(), "key", "left_semi")
+    aligned = (
+        found.select("doc_id", "key", token_hashes(F.col("text")).alias("tokens"))
+        .join(hits.join(near(wanted), "item"), "key")
+        .select("doc_id", "item_id", "shift", *_overlap())
     )
-    width = F.least(F.lit(window), F.size("wanted"))
-    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("best"))
-
-    def step(acc: Column, k: Column) -> Column:
-        gone = F.when(k >= F.col("width"), F.get("equal", F.greatest(k - F.col("width"), F.lit(0)))).otherwise(0)
-        now = acc.now + F.get("equal", k) - gone
-        return F.struct(now.alias("now"), F.greatest(acc.best, now).alias("best"))
-
-    best = F.aggregate(F.sequence(F.lit(0), F.size("wanted") - 1), start, step).best
-    verified = hits.withColumns({"equal": equal, "width": width}).withColumn("best", best)
+    equal = F.zip_with("there", "here", lambda a, b: F.when(a == b, 1).otherwise(0))
+    width = F.least(F.lit(window), F.col("n")).alias("width")
+    # explodes of one value, so that Spark works it out once and not in every place that uses it
+    marked = aligned.select("doc_id", "item_id", "shift", width, F.explode(F.array(equal)).alias("equal"))
+    best = marked.select("doc_id", "item_id", "shift", "width", F.explode(F.array(_best())).alias("best"))
     return (
-        verified.filter(F.col("best") * 100 >= F.col("width") * share)
+        best.filter(F.col("best") * 100 >= F.col("width") * share)
         .groupBy("doc_id", "item_id")
         .agg(F.max(F.struct("best", F.col("width"), (-F.col("shift")).alias("s"))).alias("b"))
         .select("doc_id", "item_id", F.col("b.best").cast("long").alias("n_equal"),
