@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from snapmart.llm.shared import ascii_lower, stored
 
@@ -80,8 +81,46 @@ def _with_pairs(df: DataFrame, text: str, least: int = 1) -> DataFrame:
     return df.select(*kept, F.explode(F.array(F.array_distinct(pairs))).alias("pairs"))
 
 
+def _telling_words(templates: DataFrame, per_cent: int) -> DataFrame:
+    """Words of which every match holds one.
+
+    A match shares at least ``per_cent / (200 - per_cent)`` of a template's pairs, so of any set of
+    more pairs than may be missing it has one, and then that pair's longer word. The pairs with the
+    longest words are taken, as these are rare in other texts.
+    """
+    words = F.array_remove(F.split(ascii_lower(F.col("text")), "[^a-z0-9]+"), "")
+    pair = lambda a, b: F.when(F.length(a) >= F.length(b), F.struct(a.alias("w"), b.alias("v"), F.lit(0).alias("at")))
+    pairs = F.array_distinct(F.zip_with(
+        F.slice("words", 1, F.size("words") - 1), F.slice("words", 2, F.size("words")),
+        lambda a, b: pair(a, b).otherwise(F.struct(b.alias("w"), a.alias("v"), F.lit(1).alias("at"))),
+    ))
+    each = (
+        templates.select(F.col("text"), words.alias("words")).filter(F.size("words") > 1).distinct()
+        .select("text", pairs.alias("pairs"))
+        .select("text", F.size("pairs").alias("size"), F.explode("pairs").alias("p"))
+    )
+    place = F.row_number().over(Window.partitionBy("text").orderBy(F.length("p.w").desc(), "p"))
+    missing = F.col("size") - F.ceil(F.col("size") * per_cent / (200 - per_cent))
+    return each.withColumn("place", place).filter(F.col("place") <= missing + 1).select("p.w").distinct()
+
+
+def _whole_words(words: list[str]) -> str:
+    """A pattern for any of ``words`` (a-z, 0-9, in either case) as a whole word; none of none.
+
+    Grouped by first letter after a look back, so that most places of a text fail at once.
+    """
+    tails: dict[str, list[str]] = {}
+    for word in sorted(words):
+        tails.setdefault(word[0], []).append(word[1:])
+    if not tails:
+        return "(?!)"
+    either = "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in tails.items())
+    return f"(?i)(?<![a-z0-9])(?=[{''.join(tails)}])(?:{either})(?![a-z0-9])"
+
+
 def license_matches(
-    docs: DataFrame, templates: DataFrame, per_cent: int = 85, broadcast_rows: int = 1_000_000
+    docs: DataFrame, templates: DataFrame, per_cent: int = 85, broadcast_rows: int = 1_000_000,
+    most_words: int = 2000,
 ) -> DataFrame:
     """Licences named in ``docs(doc_id, text)``: a row per document and template of ``templates(license, text)``.
 
@@ -89,6 +128,8 @@ def license_matches(
     once. Dice's coefficient 2|A & B| / (|A| + |B|) of the sets of word pairs must reach
     ``per_cent``. It cannot if the sizes differ too much, so a template meets only units with sizes
     in its bounds, and units outside of all bounds are left out before their pairs are looked at.
+    Texts and units without any word that a match must hold are left out before they are cut up;
+    if templates need more than ``most_words`` such words, this step is left out, with equal results.
 
     Returns doc_id, license, n_units (matching units, distinct texts), n_common and n_pairs (common
     and summed sizes of the best unit; dice = 2 n_common / n_pairs) and dice, rounded. Texts and
@@ -111,7 +152,13 @@ def license_matches(
     units = F.array_distinct(F.concat(
         F.array(text), F.split(text, r"\n[ \t\r]*\n"), F.split(text, r"\n"), F.split(text, r"(?<=[.!?])\s+")
     ))
-    each = docs.select(F.col("doc_id"), F.explode(units).alias("unit")).filter(F.length("unit") > 2)
+    told = [r.w for r in _telling_words(templates, per_cent).limit(most_words + 1).collect()]
+    if len(told) > most_words:
+        holds = lambda name: F.lit(True)
+    else:
+        holds = lambda name: F.col(name).rlike(_whole_words(told))
+    each = docs.filter(holds("text")).select(F.col("doc_id"), F.explode(units).alias("unit")).filter(holds("unit"))
+    each = each.filter(F.length("unit") > 2)
     sized = _with_pairs(each.withColumn("id", F.xxhash64("unit")), "unit", max(bounds[0] or 1, 1)).select(
         "doc_id", F.col("id").alias("unit"), F.size("pairs").alias("n"), "pairs"
     ).filter(F.col("n").between(bounds[0] or 0, bounds[1] or 0))

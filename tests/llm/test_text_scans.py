@@ -154,6 +154,7 @@ def test_licenses(spark):
     assert len({w[1] for w in wanted}) > 6
     for limit in (1_000_000, 0):
         assert {tuple(r) for r in licenses.license_matches(df, templates, broadcast_rows=limit).collect()} == wanted
+    assert {tuple(r) for r in licenses.license_matches(df, templates, most_words=3).collect()} == wanted
     assert licenses.license_matches(df, templates.limit(0)).count() == 0
     assert licenses.license_matches(df.limit(0), templates).count() == 0
 
