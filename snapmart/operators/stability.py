@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from snapmart.operators.ordering import cut_points, running_totals, with_range
+from snapmart.operators.ordering import cut_points, with_range
 
 # Reported quantiles.
 QUANTILES = {"p10": 0.1, "p50": 0.5, "p90": 0.9}
@@ -24,20 +25,40 @@ def exact_quantiles(
     """Quantiles per group with linear interpolation between neighbours.
 
     The built-in exact percentile keeps every distinct value of a group in one task's memory.
-    Here values are counted, ranked over ranges of the value, and only the two neighbours of each
-    quantile are kept.
+    Here rows are counted per range of the value, which merges before the shuffle; values are ranked
+    only in the ranges that hold a neighbour of a quantile.
     """
-    usable = df.filter(F.col(value).isNotNull())
+    usable = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).alias("_value"))
     if cuts is None:
-        cuts = cut_points(usable, value)
-    cells = usable.groupBy(*by, F.col(value).alias("_value")).agg(F.count(F.lit(1)).alias("n"))
-    ranked = running_totals(with_range(cells, "_value", cuts), by, ["_value"], ["n"])
+        cuts = cut_points(usable, "_value")
+    placed = with_range(usable, "_value", cuts)
+    group = Window.partitionBy(*by)
+    earlier = Window.unboundedPreceding, -1
+    ranges = placed.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("n")).withColumns({
+        "n_before": F.coalesce(F.sum("n").over(group.orderBy("_range").rowsBetween(*earlier)), F.lit(0)),
+        "n_total": F.sum("n").over(group),
+    })
+    position = {name: F.lit(q) * (F.col("n_total") - 1) for name, q in quantiles.items()}
+
+    def holds(rank):
+        return (F.col("n_before") <= rank) & (rank < F.col("n_before") + F.col("n"))
+
+    wanted = ranges.filter(
+        reduce(lambda a, b: a | b, [holds(f(p)) for p in position.values() for f in (F.floor, F.ceil)])
+    ).select(
+        *[F.col(k).alias(f"_of_{k}") for k in by], F.col("_range").alias("_of"),
+        F.col("n_before").alias("_lead"), "n_total",
+    )
+    alike = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in by]
+    cells = placed.join(wanted, [*alike, F.col("_range") == F.col("_of")]).groupBy(
+        *by, "_range", "_value"
+    ).agg(F.count(F.lit(1)).alias("n"), F.max("_lead").alias("_lead"), F.max("n_total").alias("n_total"))
+    inside = Window.partitionBy(*by, "_range").orderBy("_value").rowsBetween(*earlier)
+    ranked = cells.withColumn("n_before", F.col("_lead") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
 
     def at(rank):
-        inside = (F.col("n_before") <= rank) & (rank < F.col("n_before") + F.col("n"))
-        return F.max(F.when(inside, F.col("_value")))
+        return F.max(F.when(holds(rank), F.col("_value")))
 
-    position = {name: F.lit(q) * (F.col("n_total") - 1) for name, q in quantiles.items()}
     neighbours = ranked.groupBy(*by).agg(
         F.max("n_total").alias("n_total"),
         *[at(F.floor(p)).alias(f"_{name}_low") for name, p in position.items()],

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import random
 
 import pytest
@@ -118,3 +119,12 @@ def test_holdout(spark):
     got = {str(r["snapshot_date"]): r["period"] for r in datasets.time_holdout(df).collect()}
     assert len(got) == 18 and got["2024-06-01"] == "oot" and got["2023-01-01"] == "development"
     assert list(got.values()).count("oot") == 1
+
+
+def test_folds_rank_hashes_inside_shared_buckets(spark):
+    """Several hashes to a bucket, so that folds begin inside of some."""
+    rows = 150_000
+    df = spark.range(rows).select("id", F.lit("a").alias("label"))
+    got = {r["id"]: r["fold"] for r in datasets.stratified_folds(df, "label", ["id"], 7).collect()}
+    by_hash = sorted(range(rows), key=lambda i: hashlib.md5(f"42|{i}".encode()).hexdigest())
+    assert got == {i: at * 7 // rows for at, i in enumerate(by_hash)}
