@@ -24,11 +24,14 @@ def default_parts(spark: SparkSession) -> int:
 
 
 def order_value(df: DataFrame, name: str) -> Column:
-    """A double that never decreases when the column grows, for numeric, date and time columns."""
+    """A double that never decreases when the column grows, for numeric, date and time columns.
+
+    Dates count in seconds as times do, so that cut points of one also divide the other.
+    """
     kind = df.schema[name].dataType
     c = F.col(name)
     if isinstance(kind, T.DateType):
-        return F.unix_date(c).cast("double")
+        return F.unix_date(c) * F.lit(86400.0)
     if isinstance(kind, T.TimestampNTZType):
         day = F.unix_date(c.cast("date"))
         return day * F.lit(86400.0) + F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)
