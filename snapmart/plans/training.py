@@ -103,7 +103,8 @@ def run_training(
     models, quality = train_models(data, names, grids=grids, folds=folds)
     write_table(quality, f"{lake}/gold/model_quality")
     best = choose_model(
-        spark.read.parquet(f"{lake}/gold/model_quality"), "forest", "logistic"
+        spark.read.parquet(f"{lake}/gold/model_quality"), "forest", "logistic",
+        metric="probability_auc",
     ).first()["model"]
     save_model(models[best], f"{lake}/models/current")
     return best
