@@ -78,6 +78,24 @@ def contaminated(
     with one item_id as one item. Null and empty texts overlap with nothing; empty tables give an
     empty result; other columns are ignored.
     """
+    return (
+        _overlaps(docs, benchmark, masks, window, share, least_tokens, broadcast_rows)
+        .groupBy("doc_id", "item_id")
+        .agg(F.max(F.struct("best", F.col("width"), (-F.col("shift")).alias("s"))).alias("b"))
+        .select("doc_id", "item_id", F.col("b.best").cast("long").alias("n_equal"),
+                F.col("b.width").cast("long").alias("n_window"), (-F.col("b.s")).cast("long").alias("first_word"))
+    )
+
+
+def _key(df: DataFrame) -> Column:
+    return F.xxhash64(df.doc_id, df.text)
+
+
+def _overlaps(
+    docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, window: int = 20,
+    share: int = 80, least_tokens: int = 5, broadcast_rows: int = 1_000_000,
+) -> DataFrame:
+    """Every alignment that reaches the share: doc_id, key (of doc_id and text), item_id, shift, width, best."""
     items = benchmark.select(F.col("item_id"), token_hashes(F.col("text")).alias("tokens"))
     items = stored(
         items.filter(F.size("tokens") >= least_tokens).distinct()
@@ -95,7 +113,7 @@ def contaminated(
     near = F.broadcast if small else (lambda df: df)
 
     # the hash of a row only names candidates; what is reported is compared token by token
-    source = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
+    source = docs.select("doc_id", "text", _key(docs).alias("key"))
     hits = stored(
         _windows(source.select("key", token_hashes(F.col("text")).alias("tokens")), ["key", "tokens"], every, "at")
         .join(near(seeds), "seed")
@@ -106,23 +124,18 @@ def contaminated(
     aligned = (
         found.select("doc_id", "key", token_hashes(F.col("text")).alias("tokens"))
         .join(hits.join(near(wanted), "item"), "key")
-        .select("doc_id", "item_id", "shift", *_overlap())
+        .select("doc_id", "key", "item_id", "shift", *_overlap())
     )
     equal = F.zip_with("there", "here", lambda a, b: F.when(a == b, 1).otherwise(0))
     width = F.least(F.lit(window), F.col("n")).alias("width")
     # explodes of one value, so that Spark works it out once and not in every place that uses it
-    marked = aligned.select("doc_id", "item_id", "shift", width, F.explode(F.array(equal)).alias("equal"))
-    best = marked.select("doc_id", "item_id", "shift", "width", F.explode(F.array(_best())).alias("best"))
-    return (
-        best.filter(F.col("best") * 100 >= F.col("width") * share)
-        .groupBy("doc_id", "item_id")
-        .agg(F.max(F.struct("best", F.col("width"), (-F.col("shift")).alias("s"))).alias("b"))
-        .select("doc_id", "item_id", F.col("b.best").cast("long").alias("n_equal"),
-                F.col("b.width").cast("long").alias("n_window"), (-F.col("b.s")).cast("long").alias("first_word"))
-    )
+    marked = aligned.select("doc_id", "key", "item_id", "shift", width, F.explode(F.array(equal)).alias("equal"))
+    best = marked.select("doc_id", "key", "item_id", "shift", "width", F.explode(F.array(_best())).alias("best"))
+    return best.filter(F.col("best") * 100 >= F.col("width") * share)
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id overlaps with no item; all columns as they are."""
-    bad = stored(contaminated(docs, benchmark).select(F.col("doc_id").alias("_id")).distinct())
-    return docs.join(bad, same(docs.doc_id, bad["_id"]), "left_anti")
+    """The rows of ``docs`` whose text overlaps with no item; all columns as they are."""
+    bad = _overlaps(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
+    bad = stored(bad.distinct())
+    return docs.join(bad, same(docs.doc_id, bad["_id"]) & (_key(docs) == bad["_key"]), "left_anti")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from snapmart.llm.near import Rule, near_groups
-from snapmart.llm.shared import same, stored
+from snapmart.llm.shared import same, stored, text_key
 from snapmart.llm.words import MinHash, set_hash, shingles, word_hashes
 
 
@@ -29,7 +29,7 @@ def _signed(rule: Rule, size: int):
                 sigs.append(signature.astype(np.uint16).tobytes())
                 keys.append(maker.keys(signature))
             yield pd.DataFrame({
-                "doc_id": pdf.doc_id, "n": n, "unit": pd.array(units, dtype="Int64"), "sig": sigs, "keys": keys,
+                "doc_id": pdf.doc_id, "key": pdf.key, "n": n, "unit": pd.array(units, dtype="Int64"), "sig": sigs, "keys": keys,
             })
 
     return run
@@ -57,9 +57,23 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), shingle: int = 5) -> D
     texts and share the id's verdict; a null doc_id belongs to its group, whose id is the least
     non-null one. An empty table gives an empty result.
     """
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    signed, members = _grouped(docs, rule, shingle)
+    ids = members.groupBy("label").agg(F.min("first").alias("component_id"))
+    of_unit = stored(members.join(ids, "label").select("unit", "component_id"))
+    component = F.when(F.col("unit").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return (
+        signed.select("doc_id", F.col("n").alias("n_shingles"), "unit").join(of_unit, "unit", "left")
+        .select("doc_id", "n_shingles", component.alias("component_id"))
+        .withColumn("kept", same(F.col("doc_id"), F.col("component_id")))
+    )
+
+
+def _grouped(docs: DataFrame, rule: Rule, shingle: int = 5) -> tuple[DataFrame, DataFrame]:
+    """Rows with the hash of their text and their unit; units with their least doc_id and label."""
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"),
+                         text_key(docs).alias("key"))
     signed = stored(source.mapInPandas(
-        _signed(rule, shingle), "doc_id long, n long, unit long, sig binary, keys array<long>"
+        _signed(rule, shingle), "doc_id long, key long, n long, unit long, sig binary, keys array<long>"
     ))
     classes = stored(
         signed.filter("unit is not null").groupBy("unit")
@@ -79,25 +93,39 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), shingle: int = 5) -> D
 
     groups = near_groups(unique, sets_of, rule)
     members = classes.join(groups, "unit", "left").withColumn("label", F.coalesce("label", "unit"))
-    ids = members.groupBy("label").agg(F.min("first").alias("component_id"))
-    of_unit = stored(members.join(ids, "label").select("unit", "component_id"))
-    component = F.when(F.col("unit").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return (
-        signed.select("doc_id", F.col("n").alias("n_shingles"), "unit").join(of_unit, "unit", "left")
-        .select("doc_id", "n_shingles", component.alias("component_id"))
-        .withColumn("kept", same(F.col("doc_id"), F.col("component_id")))
-    )
+    return signed, members
 
 
 def without_near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """``docs`` with one document of each group of near-duplicates, all columns as they are.
 
-    Of rows that repeat a doc_id, one stays.
+    Rows are judged, not ids: rows that share a doc_id, or have none, are told apart by their texts.
+    The row that stays is the group's least by doc_id (null last), set of word runs, hash of the
+    text and hash of the other columns. A text without words is in no group: all rows of it stay,
+    but those that repeat a doc_id and text count once.
     """
-    kept = near_duplicates(docs, rule).filter("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"))
-    kept = stored(kept.withColumnRenamed("doc_id", "_id"))
-    rows = docs.join(kept, same(docs.doc_id, kept["_id"]))
+    signed, members = _grouped(docs, rule)
+    order = F.struct(F.col("first").isNull(), F.col("first"), F.col("unit"))
+    heads = members.groupBy("label").agg(F.min(order).alias("head")).select("head.unit", "head.first")
+    counted = signed.groupBy("unit", "doc_id", "key").agg(F.count(F.lit(1)).alias("rows"))
+    least = (
+        counted.join(heads, (counted.unit == heads.unit) & same(counted.doc_id, heads["first"]), "left_semi")
+        .groupBy("unit", "doc_id").agg(F.min(F.struct("key", "rows")).alias("row"))
+        .select("doc_id", "row.key", "row.rows")
+    )
+    blank = counted.filter("unit is null").select(
+        "doc_id", "key", F.when(F.col("doc_id").isNull(), F.lit(1)).otherwise(F.col("rows")).alias("rows")
+    )
+    kept = stored(least.unionByName(blank).select(
+        F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("rows").alias("_rows")))
+    rows = docs.join(kept, same(docs.doc_id.cast("long"), kept["_id"]) & (text_key(docs) == kept["_key"]))
     columns = [docs[f"`{c}`"] for c in docs.columns]
     once = rows.filter(kept["_rows"] == 1).select(*columns)
-    again = rows.filter(kept["_rows"] > 1).select(*columns)
-    return once.unionByName(again.dropDuplicates(["doc_id"]))
+    again = rows.filter(kept["_rows"] > 1).select(
+        kept["_id"].alias("id"), kept["_key"].alias("key"), F.struct(*columns).alias("row"))
+    again = stored(again.withColumn("tie", F.xxhash64(F.to_json("row"))))
+    first = again.groupBy("id", "key").agg(F.min("tie").alias("tie")).select(
+        F.col("id").alias("id_"), F.col("key").alias("key_"), F.col("tie").alias("tie_"))
+    alike = same(again.id, first.id_) & (again.key == first.key_) & (again.tie == first.tie_)
+    one = again.join(first, alike, "left_semi").dropDuplicates(["id", "key"])
+    return once.unionByName(one.select(*[F.col(f"row.`{c}`") for c in docs.columns]))

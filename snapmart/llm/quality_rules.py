@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from snapmart.llm.shared import same, stored
+from snapmart.llm.shared import same, stored, text_key
 from snapmart.llm.words import SPACE, shingles, spans, word_hashes
 
 _SYMBOLS = np.zeros(256, bool)
@@ -48,7 +48,7 @@ def _measured(batches):
     for pdf in batches:
         found = np.array([_measures(text) for text in pdf.text], np.int64).reshape(-1, 5)
         yield pd.DataFrame({
-            "doc_id": pdf.doc_id, "lang": pdf.lang, "source": pdf.source, "n_words": found[:, 0],
+            "doc_id": pdf.doc_id, "key": pdf.key, "lang": pdf.lang, "source": pdf.source, "n_words": found[:, 0],
             "word_chars": found[:, 1], "n_symbols": found[:, 2], "n_dup_lines": found[:, 3],
             "n_repeat_words": found[:, 4], "n_lines": [t.count(b"\n") + 1 if t else 0 for t in pdf.text],
         })
@@ -96,12 +96,18 @@ def quality_verdicts(docs: DataFrame, least_rows: int = 100, reach: int = 3) ->
     own. Repeated rows each get a row. An empty table gives an empty result; other columns are
     ignored.
     """
+    return _verdicts(docs, least_rows, reach).drop("key", "lang", "source")
+
+
+def _verdicts(docs: DataFrame, least_rows: int = 100, reach: int = 3) -> DataFrame:
+    """:func:`quality_verdicts` with the hash of the text, language and source, to find the row again."""
     source = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"),
         F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"),
+        text_key(docs).alias("key"),
     )
     measured = stored(source.mapInPandas(
-        _measured, "doc_id long, lang string, source string, n_words long, word_chars long, "
+        _measured, "doc_id long, key long, lang string, source string, n_words long, word_chars long, "
         "n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
     ))
     words = F.greatest("n_words", F.lit(1))
@@ -159,12 +165,19 @@ def quality_verdicts(docs: DataFrame, least_rows: int = 100, reach: int = 3) ->
         table, same(judged.lang, table.lang_) & same(judged.source, table.source_), "left"
     )
     return joined.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+        "doc_id", "key", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & F.coalesce(inside, F.lit(False))).alias("kept"),
     )
 
 
 def keep_by_quality(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id has a kept row; all columns as they are."""
-    kept = stored(quality_verdicts(docs).filter("kept").select(F.col("doc_id").alias("_id")).distinct())
-    return docs.join(kept, same(docs.doc_id.cast("long"), kept["_id"]), "left_semi")
+    """The rows of ``docs`` that are kept, each judged by itself; all columns as they are."""
+    kept = stored(_verdicts(docs).filter("kept").select(
+        F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("lang").alias("_lang"),
+        F.col("source").alias("_source"),
+    ).distinct())
+    alike = (
+        same(docs.doc_id.cast("long"), kept["_id"]) & (text_key(docs) == kept["_key"])
+        & same(docs.lang.cast("string"), kept["_lang"]) & same(docs.source.cast("string"), kept["_source"])
+    )
+    return docs.join(kept, alike, "left_semi")

@@ -20,6 +20,11 @@ def same(left: Column, right: Column) -> Column:
     return left.eqNullSafe(right)
 
 
+def text_key(df: DataFrame) -> Column:
+    """A hash of the row's text; with the doc_id it names what a verdict is about."""
+    return F.xxhash64(df.text.cast("binary"))
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z in lower case, all else as it is."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
