@@ -2,13 +2,46 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+from itertools import combinations
+from math import comb
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from snapmart.llm.shared import same, stored
 
-#: positions marked 1 must be equal for a hit, those marked 0 are ignored
-MASKS = ("11011011011", "11101010111", "10111011101")
+#: positions marked 1 must be equal for a hit, those marked 0 are ignored; together they hit every
+#: alignment with 80 % equal tokens in a window of 20, or in an item of 5 to 19 (see ``hits_all``)
+MASKS = ("1111", "11011", "11101", "10111")
+#: more tokens at once, so fewer hits by chance; they hit every such window of 20
+HEAVY = ("1101111", "111010011", "10110111")
+#: patterns that ``hits_all`` tries at most
+PATTERNS = 20_000
+
+
+@lru_cache(maxsize=None)
+def hits_all(masks: tuple[str, ...], width: int, unequal: int) -> bool:
+    """Whether some mask fits on equal tokens of a window of ``width``, wherever ``unequal`` are not equal."""
+    if comb(width, unequal) > PATTERNS:
+        return False
+    at = [int(m, 2) << s for m in masks for s in range(width - len(m) + 1)]
+    return all(
+        any(not bits & m for m in at) for bits in (sum(1 << k for k in c) for c in combinations(range(width), unequal))
+    )
+
+
+def masks_for(width: int, share: int, masks: tuple[str, ...] = MASKS) -> tuple[str, ...]:
+    """Masks that hit every alignment with ``share`` percent equal tokens in a window of ``width``.
+
+    ``HEAVY``, else the fewest of ``masks`` from the first on, where all patterns prove it; else a
+    run of tokens: with u unequal ones, the others form u + 1 runs, so one has a (u + 1)th of them.
+    """
+    unequal = width - -(-width * share // 100)
+    for tried in (HEAVY, *(masks[:k] for k in range(1, len(masks) + 1))):
+        if hits_all(tried, width, unequal):
+            return tried
+    return ("1" * -(-(width - unequal) // (unequal + 1)),)
 
 
 def token_hashes(text: Column) -> Column:
@@ -17,26 +50,18 @@ def token_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _seeds(tokens: Column, at: Column, masks: tuple[str, ...], whole: tuple[str, ...]) -> list[Column]:
-    """One hash per mask for the window that starts at ``at``; null where it does not fit.
+def _windows(df: DataFrame, keep: list[str], masks: dict[str, Column], place: str) -> DataFrame:
+    """A row per place and mask that fits there: ``keep``, the place of its first token and its seed.
 
-    The masks in ``whole`` are meant for texts of just their length.
+    A mask is laid where its condition is true.
     """
-    out = []
-    for k, mask in enumerate(masks):
-        picked = [F.get(tokens, at + j) for j, bit in enumerate(mask) if bit == "1"]
-        fits = F.size(tokens) == len(mask) if mask in whole else at + len(mask) <= F.size(tokens)
-        out.append(F.when((at + len(mask) <= F.size(tokens)) & fits, F.xxhash64(F.lit(k), *picked)))
-    return out
-
-
-def _windows(
-    df: DataFrame, keep: list[str], masks: tuple[str, ...], place: str, whole: tuple[str, ...] = ()
-) -> DataFrame:
-    """A row per window and mask: ``keep``, the window's first token and its seed."""
     at = df.select(*keep, F.posexplode("tokens").alias(place, "_"))
-    seeds = F.explode(F.array(*_seeds(F.col("tokens"), F.col(place), masks, whole)))
-    return at.select(*keep, place, seeds.alias("seed")).filter("seed is not null")
+    seeds = []
+    for k, (mask, wanted) in enumerate(masks.items()):
+        picked = [F.get("tokens", F.col(place) + j) for j, bit in enumerate(mask) if bit == "1"]
+        fits = F.col(place) + len(mask) <= F.size("tokens")
+        seeds.append(F.when(fits & wanted, F.xxhash64(F.lit(k), *picked)))
+    return at.select(*keep, place, F.explode(F.array(*seeds)).alias("seed")).filter("seed is not null")
 
 
 def _overlap() -> list[Column]:
@@ -65,11 +90,11 @@ def contaminated(
 ) -> DataFrame:
     """Pairs of ``docs(doc_id, text)`` and ``benchmark(item_id, text)`` that overlap.
 
-    Texts become runs of letters and digits in lower case. A pair is reported if a mask finds equal
-    tokens at its marked positions and, with both texts aligned there, some ``window`` tokens of
-    the item (all of a shorter one) have at least ``share`` percent equal tokens in the document.
-    Items shorter than a mask are found by all their tokens; below ``least_tokens`` they are left
-    out, since such few words occur by chance. Seeds are broadcast up to ``broadcast_rows`` rows of
+    Texts become runs of letters and digits in lower case. A pair is reported if in some alignment
+    of both texts some ``window`` tokens of the item (all of a shorter one) have at least ``share``
+    percent equal tokens in the document. Masks propose alignments, and those of ``masks_for`` miss
+    none that reaches the share. Items below ``least_tokens`` are left out, since such few words
+    occur by chance. Seeds are broadcast up to ``broadcast_rows`` rows of
     a few numbers each, and joined by a shuffle above.
 
     Returns doc_id, item_id, n_equal and n_window (of the best window) and first_word (the place
@@ -101,21 +126,24 @@ def _overlaps(
         items.filter(F.size("tokens") >= least_tokens).distinct()
         .withColumn("item", F.xxhash64("item_id", "tokens"))
     )
-    span = max(map(len, masks))
-    lengths = items.filter(F.size("tokens") < span).select(F.size("tokens").alias("n")).distinct()
-    short = {r.n: "1" * r.n for r in lengths.collect()}  # at most as many as a mask is long
-    whole = tuple(short[n] for n in sorted(short))
-    every = (*masks, *whole)
-    seeds = stored(
-        _windows(items, ["item", "tokens"], every, "item_at", whole).select("item", "item_at", "seed").distinct()
-    )
+    width = F.least(F.size("tokens"), F.lit(window))
+    widths = [r.w for r in items.select(width.alias("w")).distinct().collect()]  # at most ``window`` numbers
+    uses: dict[str, list[int]] = {}
+    for w in sorted(widths):
+        for mask in masks_for(w, share, masks):
+            uses.setdefault(mask, []).append(w)
+    if not uses:
+        uses = {masks[0]: []}
+    of_item = {mask: width.isin(ws) for mask, ws in uses.items()}
+    seeds = stored(_windows(items, ["item", "tokens"], of_item, "item_at").select("item", "item_at", "seed").distinct())
     small = seeds.count() <= broadcast_rows
     near = F.broadcast if small else (lambda df: df)
 
     # the hash of a row only names candidates; what is reported is compared token by token
     source = docs.select("doc_id", "text", _key(docs).alias("key"))
     hits = stored(
-        _windows(source.select("key", token_hashes(F.col("text")).alias("tokens")), ["key", "tokens"], every, "at")
+        _windows(source.select("key", token_hashes(F.col("text")).alias("tokens")), ["key", "tokens"],
+                 dict.fromkeys(uses, F.lit(True)), "at")
         .join(near(seeds), "seed")
         .select("key", "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
     )
