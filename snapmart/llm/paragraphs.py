@@ -1,4 +1,4 @@
-"""Repeated paragraphs across documents, by MinHash banding and exact Jaccard similarity."""
+"""Repeated paragraphs, by MinHash banding and exact Jaccard similarity, and repeated word runs."""
 
 from __future__ import annotations
 
@@ -6,23 +6,28 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from snapmart.llm.near import Rule, near_groups, tuned
 from snapmart.llm.shared import same, stored
-from snapmart.llm.words import MULTIPLIER, MinHash, mix, spans, word_hashes
+from snapmart.llm.words import MULTIPLIER, MinHash, mix, shingles, spans, word_hashes
 
 #: 11 bands of 4 values find a pair of similarity 0.8 with probability 0.995, one of 0.9 with 0.99999
 RULE = Rule(num=80, den=100, bands=tuned(0.8, 0.995, 4), rows=4)
 
 
 class Paragraphs:
-    """The lines of a text with at least ``least`` words, as sets of ``size``-word shingles."""
+    """The paragraphs of a text with at least ``least`` words, as sets of ``size``-word shingles.
+
+    A paragraph is a line of that many words, or neighbouring shorter lines (wrapped text) up to
+    the next blank or long line, named by the first of them.
+    """
 
     def __init__(self, least: int, size: int):
         self.least, self.size = least, size
 
     def of(self, text: bytes | None):
-        """Line numbers, spans in code points, set sizes, the sets end to end, and their hashes."""
+        """First and last lines, spans in code points, set sizes, the sets end to end, and their hashes."""
         if not text:
             return None
         raw = np.frombuffer(text, np.uint8)
@@ -33,6 +38,14 @@ class Paragraphs:
         breaks = np.flatnonzero(raw == 10)
         line = np.searchsorted(breaks, starts)
         count = np.bincount(line, minlength=len(breaks) + 1)
+        number = np.arange(len(count))
+        short = (count > 0) & (count < self.least)
+        follows = short & np.append(False, short[:-1])  # noqa: FBT003
+        head = np.maximum.accumulate(np.where(follows, 0, number))
+        last = number.copy()
+        np.maximum.at(last, head, number)
+        line = head[line]
+        count = np.bincount(line, minlength=len(count))
         chosen = count >= self.least
         if not chosen.any():
             return None
@@ -52,8 +65,8 @@ class Paragraphs:
         hashes = mix(np.add.reduceat(mix(run ^ MULTIPLIER), first) + sizes.astype(np.uint64)).view(np.int64)
         points = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
         begin = np.concatenate(([0], breaks + 1))[lines]
-        end = np.concatenate((breaks, [len(raw)]))[lines]
-        return lines, points[begin], points[end], sizes, first, run, hashes
+        end = np.concatenate((breaks, [len(raw)]))[last[lines]]
+        return lines, last[lines], points[begin], points[end], sizes, first, run, hashes
 
 
 def _found(maker: Paragraphs):
@@ -63,8 +76,8 @@ def _found(maker: Paragraphs):
             for doc_id, text in zip(pdf.doc_id, pdf.text, strict=True):
                 found = maker.of(text)
                 if found is not None:
-                    lines, begin, end, sizes, _, _, hashes = found
-                    out.append(pd.DataFrame({"doc_id": doc_id, "paragraph": lines, "start": begin, "end": end,
+                    lines, last, begin, end, sizes, _, _, hashes = found
+                    out.append(pd.DataFrame({"doc_id": doc_id, "paragraph": lines, "last": last, "start": begin, "end": end,
                                              "unit": hashes, "n": sizes}))
             if out:
                 yield pd.concat(out).astype({"doc_id": "Int64"})
@@ -81,7 +94,7 @@ def _keys(maker: Paragraphs, rule: Rule):
                 found = maker.of(text)
                 if found is None:
                     continue
-                _, _, _, _, first, run, hashes = found
+                _, _, _, _, _, first, run, hashes = found
                 high = (run >> np.uint64(32)).astype(np.uint32)[:, None]
                 sig = np.minimum.reduceat(high * signer.a + signer.b, first, axis=0)
                 rows = sig.reshape(len(first), rule.bands, rule.rows).astype(np.uint64)
@@ -99,7 +112,7 @@ def _sets(maker: Paragraphs):
             for text in pdf.text:
                 found = maker.of(text)
                 if found is not None:
-                    _, _, _, _, first, run, hashes = found
+                    _, _, _, _, _, first, run, hashes = found
                     yield pd.DataFrame({"unit": hashes, "set": [x.tobytes() for x in np.split(run, first[1:])]})
 
     return run
@@ -108,21 +121,27 @@ def _sets(maker: Paragraphs):
 def repeated_paragraphs(docs: DataFrame, rule: Rule = RULE, least_words: int = 20, shingle: int = 5) -> DataFrame:
     """Paragraphs of ``docs(doc_id, text)`` that occur more than once: a row per occurrence.
 
-    A paragraph is a line of at least ``least_words`` words; shorter lines recur by chance. Two are
+    A paragraph is a line of at least ``least_words`` words, or neighbouring shorter lines with as
+    many together, as of wrapped text; what is shorter recurs by chance. Two are
     linked if their sets of ``shingle``-word runs (A-Z lower-cased) reach the rule's Jaccard
     similarity, compared exactly for paragraphs that share a band. Groups are the components; the
     first occurrence by doc_id and paragraph stays, all others are removals.
 
-    Returns doc_id, paragraph (number of the line, from 0), start and end (code points, end
+    Returns doc_id, paragraph (number of its first line, from 0), start and end (code points, end
     excluded), n_shingles, kept_doc_id and kept_paragraph (the group's first occurrence),
     occurrences (of the group) and removed. Equal sets are one unit before banding. Rows that
     repeat a doc_id and paragraph count once; a null doc_id sorts first. Null and empty texts have
     no paragraphs; an empty table gives an empty result; other columns are ignored.
     """
+    return _repeated(docs, rule, least_words, shingle).drop("last")
+
+
+def _repeated(docs: DataFrame, rule: Rule, least_words: int, shingle: int = 5) -> DataFrame:
+    """:func:`repeated_paragraphs` with ``last``, the number of the paragraph's last line."""
     maker = Paragraphs(least_words, shingle)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     found = stored(source.mapInPandas(
-        _found(maker), "doc_id long, paragraph long, start long, end long, unit long, n long"
+        _found(maker), "doc_id long, paragraph long, last long, start long, end long, unit long, n long"
     ).dropDuplicates(["doc_id", "paragraph", "unit"]))
     place = F.struct("doc_id", "paragraph")
     classes = stored(found.groupBy("unit").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("rows")))
@@ -140,16 +159,143 @@ def repeated_paragraphs(docs: DataFrame, rule: Rule = RULE, least_words: int = 2
     whole = members.groupBy("label").agg(F.min("first").alias("kept"), F.sum("rows").alias("occurrences"))
     of_unit = stored(members.join(whole.filter("occurrences > 1"), "label").select("unit", "kept", "occurrences"))
     return found.join(of_unit, "unit").select(
-        "doc_id", "paragraph", "start", "end", F.col("n").alias("n_shingles"),
+        "doc_id", "paragraph", "last", "start", "end", F.col("n").alias("n_shingles"),
         F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.paragraph").alias("kept_paragraph"), "occurrences",
         (~(same(F.col("doc_id"), F.col("kept.doc_id")) & (F.col("paragraph") == F.col("kept.paragraph")))).alias("removed"),
     )
 
 
+def _grams(text: bytes | None, size: int) -> np.ndarray:
+    words = word_hashes(text, lower=True)
+    return shingles(words, size) if len(words) >= size else words[:0]
+
+
+def _rows(keys: pd.Series, anchors: list[np.ndarray]) -> pd.DataFrame:
+    """A row per key and anchor."""
+    lengths = [len(a) for a in anchors]
+    found = np.concatenate(anchors) if anchors else np.zeros(0, np.int64)
+    return pd.DataFrame({"key": np.repeat(keys.to_numpy(), lengths), "anchor": found})
+
+
+def _anchors(size: int):
+    """Runs of half of ``size`` words that are the least by hash in some run of ``size`` words.
+
+    Which one is least depends on those words only, so equal runs have an equal anchor.
+    """
+    half = size // 2
+
+    def run(batches):
+        view = size - half + 1
+        for pdf in batches:
+            out = []
+            for text in pdf.text:
+                found = _grams(text, half)
+                # over a power of two of neighbours at a time, then two overlapping such parts
+                reach = 1
+                least = found
+                while 2 * reach <= view and len(least) > reach:
+                    least = np.minimum(least[:-reach], least[reach:])
+                    reach *= 2
+                least = np.minimum(least[:len(found) - view + 1], least[view - reach:]) if len(found) >= view else found[:0]
+                out.append(np.unique(least).view(np.int64))
+            yield _rows(pdf.key, out)
+
+    return run
+
+
+def _places(size: int):
+    """Every run of ``size`` words that holds one of the row's anchors: its place, span and hash."""
+    half = size // 2
+
+    def run(batches):
+        for pdf in batches:
+            for doc_id, key, text, anchors in zip(pdf.doc_id, pdf.key, pdf.text, pdf.anchors, strict=True):
+                marks = np.isin(_grams(text, half), np.array(anchors, np.int64).view(np.uint64))
+                upto = np.concatenate(([0], np.cumsum(marks)))
+                view = size - half + 1
+                at = np.flatnonzero(upto[view:] > upto[:-view])
+                if not len(at):
+                    continue
+                raw = np.frombuffer(text, np.uint8)
+                starts, ends = spans(raw)
+                points = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
+                yield pd.DataFrame({
+                    "doc_id": doc_id, "key": key, "at": at, "start": points[starts[at]],
+                    "end": points[ends[at + size - 1]], "run": _grams(text, size)[at].view(np.int64),
+                }).astype({"doc_id": "Int64"})
+
+    return run
+
+
+def repeated_runs(docs: DataFrame, size: int = 50) -> DataFrame:
+    """Passages of ``docs(doc_id, text)`` of ``size`` or more words that occur more than once, word for word.
+
+    A passage may lie anywhere: inside of lines, across lines, twice in one text. Words are compared
+    with A-Z lower-cased, white space is not. Of each run of ``size`` words the occurrence that is
+    first by doc_id (null first), hash of the row and place stays. A row per longest stretch of
+    neighbouring runs that stay, or that go: doc_id, start and end (code points, end excluded),
+    n_words, kept_doc_id and kept_start (of the first run), occurrences (of the most frequent run)
+    and removed. Rows that repeat a doc_id and text count once.
+
+    Only rows that share an anchor with another place are looked at in full, and these in all of
+    their runs that hold one, so no repeated run is lost.
+    """
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    source = source.filter("text is not null").withColumn("key", F.xxhash64("doc_id", "text"))
+    anchors = stored(source.select("key", "text").mapInPandas(_anchors(size), "key long, anchor long"))
+    # an anchor of one row only may still stand there twice: runs within a row are found through it
+    seen = anchors.groupBy("anchor").agg(F.min("key").alias("a"), F.max("key").alias("b"))
+    inside = stored(source.select("key", "text").mapInPandas(_twice(size), "key long, anchor long"))
+    wanted = anchors.join(seen.filter("a <> b").select("anchor"), "anchor").select("key", "anchor")
+    lists = wanted.unionByName(inside).groupBy("key").agg(F.collect_set("anchor").alias("anchors"))
+    places = source.join(lists, "key").select("doc_id", "key", "text", "anchors").mapInPandas(
+        _places(size), "doc_id long, key long, at long, start long, end long, run long")
+    places = stored(places.dropDuplicates(["key", "at"]))
+    first = F.min(F.struct("doc_id", "key", "at", "start")).alias("first")
+    runs = places.groupBy("run").agg(first, F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    found = places.join(runs, "run").withColumn(
+        "removed", (F.col("key") != F.col("first.key")) | (F.col("at") != F.col("first.at")))
+    row = Window.partitionBy("key", "removed").orderBy("at")
+    new = F.when(F.col("at") == F.lag("at").over(row) + 1, 0).otherwise(1)
+    stretch = found.withColumn("new", new).withColumn("stretch", F.sum("new").over(row))
+    return stretch.groupBy("doc_id", "key", "removed", "stretch").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), (F.count(F.lit(1)) + size - 1).alias("n_words"),
+        F.min(F.struct("at", "first")).alias("f"), F.max("rows").alias("occurrences"),
+    ).select("doc_id", "start", "end", "n_words", F.col("f.first.doc_id").alias("kept_doc_id"),
+             F.col("f.first.start").alias("kept_start"), "occurrences", "removed")
+
+
+def _twice(size: int):
+    """Anchors at more than one place of a row, where any stands."""
+    half = size // 2
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for text in pdf.text:
+                found = np.sort(_grams(text, half))
+                out.append(np.unique(found[1:][found[1:] == found[:-1]]).view(np.int64))
+            yield _rows(pdf.key, out)
+
+    return run
+
+
+def repeated_passages(docs: DataFrame, size: int = 50) -> DataFrame:
+    """Repeated paragraphs, alike or equal, and repeated runs of ``size`` or more words anywhere.
+
+    The rows of :func:`repeated_paragraphs` (kind "paragraph") and :func:`repeated_runs` (kind
+    "run"), with null in columns that a kind does not have. Spans of the two may overlap.
+    """
+    whole = repeated_paragraphs(docs).withColumn("kind", F.lit("paragraph"))
+    runs = repeated_runs(docs, size).withColumn("kind", F.lit("run"))
+    return whole.unionByName(runs, allowMissingColumns=True)
+
+
 def without_repeats(docs: DataFrame, rule: Rule = RULE, least_words: int = 20) -> DataFrame:
     """``docs`` with the removed paragraphs cut out of ``text``; all columns and rows stay."""
-    cut = repeated_paragraphs(docs, rule, least_words).filter("removed").groupBy("doc_id").agg(
-        F.collect_set(F.col("paragraph").cast("int")).alias("lines")  # at most a document's lines
+    cut = _repeated(docs, rule, least_words).filter("removed")
+    cut = cut.select("doc_id", F.explode(F.sequence("paragraph", "last")).alias("line")).groupBy("doc_id").agg(
+        F.collect_set(F.col("line").cast("int")).alias("lines")  # at most a document's lines
     )
     cut = stored(cut.select(F.col("doc_id").alias("_id"), F.col("lines").alias("_lines")))
     lines = F.split(docs.text, "\n")
