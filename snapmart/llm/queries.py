@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 from snapmart.llm import (
     cotraining,
     decontamination,
+    hash_forest,
     language_model,
     licenses,
+    max_sketch,
     mixing,
     near_dedup,
     paragraphs,
     quality_rules,
+    runs,
     secret_scan,
     url_filters,
 )
@@ -92,3 +95,46 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return secret_scan.scanned(docs, secret_scan.train(secret_scan.samples(docs)))
+
+
+LETTERS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+OP11_SQL = f"""
+with texts as (
+    select row_number() over () as row, doc_id,
+        regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{LETTERS}') as terms
+    from documents where text is not null),
+counts as (
+    select row, doc_id, len(terms) as n, unnest(terms) as term from texts),
+tfs as (select row, doc_id, n, term, count(*) as tf from counts group by all),
+whole as (select count(*) as nn, sum(len(terms))::bigint as ll from texts where len(terms) > 0),
+asked as (
+    select distinct item_id, unnest(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{LETTERS}')) as term
+    from benchmark),
+weights as (
+    select term, floor(1000 * ln((2.0::double * nn + 2) / (2.0::double * count(*) + 1)))::bigint as w
+    from tfs, whole where term in (select term from asked) group by term, nn),
+scores as (
+    select item_id, row, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * nn) // ll))))::bigint as score
+    from asked join weights using (term) join tfs using (term), whole group by item_id, row, doc_id),
+ranked as (
+    select item_id, row_number() over (partition by item_id order by score desc, doc_id) as rank, doc_id, score
+    from scores where score > 0 and doc_id is not null)
+select item_id, rank::int as rank, doc_id, score from ranked where rank <= 10
+"""
+
+
+@query("op11_lexical_search", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return max_sketch.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_periodic_runs")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return runs.digest(runs.periodic_runs(runs.with_repeated_tails(docs)))
+
+
+@query("op13_nearest_neighbours")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hash_forest.nearest(table(spark, sf_dir, "embeddings"))
