@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 from registry.base import derive, query, table, with_inputs
 from snapmart.operators.delinquency import delinquency, label_at
 from snapmart.operators.temporal import (
+    Dated,
+    bucketed_before,
     label_join,
     latest_before,
+    latest_of_each,
     latest_per_group,
     point_in_time,
 )
@@ -147,3 +150,66 @@ def newest_order(spark, sf_dir):
         orders, ["o_custkey"], [F.col("order_date").desc(), F.col("o_orderkey").desc()]
     )
     return newest.withColumn("order_date", F.col("order_date").cast("date"))
+
+
+@query(
+    "q_asof_many",
+    """
+    with days as (
+        select user_id, event_type, cast(ts as date) as day, max(event_id) as event_id, count(*) as n
+        from events group by all),
+    views as (
+        select v.*, c.day as click_day, c.event_id as click_id
+        from (select * from days where event_type = 'view') v
+        asof join (select * from days where event_type = 'click') c on v.user_id = c.user_id and v.day >= c.day)
+    select p.user_id, cast(p.day as varchar) as day, p.event_id as purchase_id,
+           cast(v.day as varchar) as view_day, v.event_id as view_id, v.n as views,
+           cast(v.click_day as varchar) as click_day, v.click_id,
+           cast(s.day as varchar) as signup_day, s.event_id as signup_id
+    from (select * from days where event_type = 'purchase') p
+    asof join views v on p.user_id = v.user_id and p.day >= v.day
+    asof join (select * from days where event_type = 'signup') s on p.user_id = s.user_id and p.day >= s.day
+    """,
+)
+def asof_many(spark, sf_dir):
+    """Days with purchases, the newest day with views that follow a click, the newest signup."""
+    days = table(spark, sf_dir, "events").groupBy(
+        "user_id", "event_type", F.col("ts").cast("date").alias("day")
+    ).agg(F.max("event_id").alias("event_id"), F.count(F.lit(1)).alias("n"))
+
+    def of(kind, *more):
+        return days.filter(F.col("event_type") == kind).select(
+            "user_id", F.col("day").alias(f"{kind}_day"), F.col("event_id").alias(f"{kind}_id"), *more)
+
+    return latest_of_each(
+        of("purchase"), "purchase_day",
+        {
+            "view": Dated(of("view", F.col("n").alias("views")), "view_day", unique=True),
+            "click": Dated(of("click"), "click_day", of="view", unique=True),
+            "signup": Dated(of("signup"), "signup_day", unique=True),
+        },
+        ["user_id"],
+    ).withColumnRenamed("purchase_day", "day")
+
+
+@query(
+    "q_range_join",
+    """
+    select o.o_custkey as cust, o.o_orderkey, count(*) as earlier, sum(e.o_orderkey)::bigint as key_sum,
+           cast(max(cast(e.o_orderdate as date)) as varchar) as newest
+    from orders o join orders e
+      on o.o_custkey % 5 = e.o_custkey % 5 and o.o_orderpriority = '1-URGENT' and o.o_orderkey % 40 = 1
+     and e.o_orderstatus = 'P' and cast(e.o_orderdate as date) <= cast(o.o_orderdate as date)
+    group by 1, 2
+    """,
+)
+def range_join(spark, sf_dir):
+    """Urgent orders with all earlier pending ones of their fifth of the customers: hot keys."""
+    orders = table(spark, sf_dir, "orders").withColumn("fifth", F.col("o_custkey") % 5)
+    urgent = orders.filter("o_orderpriority = '1-URGENT' and o_orderkey % 40 = 1").select(
+        "fifth", F.col("o_custkey").alias("cust"), "o_orderkey", F.col("o_orderdate").cast("date").alias("at"))
+    pending = orders.filter("o_orderstatus = 'P'").select(
+        "fifth", F.col("o_orderkey").alias("earlier_key"), F.col("o_orderdate").cast("date").alias("earlier"))
+    pairs = bucketed_before(urgent, pending, ["fifth"], "at", "earlier", days=92, most=100)
+    return pairs.groupBy("cust", "o_orderkey").agg(
+        F.count(F.lit(1)).alias("earlier"), F.sum("earlier_key").alias("key_sum"), F.max("earlier").alias("newest"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from snapmart.functions.numbers import whole
 from snapmart.operators.columns import fitted_values
 from snapmart.operators.ordering import default_parts, running_totals
+from snapmart.sources.snapshots import shared_folder, write_table
 
 
 # ---- mean imputation -------------------------------------------------------------------------
@@ -55,6 +56,14 @@ def fit_indexes(df: DataFrame, names: Sequence[str]) -> DataFrame:
         .groupBy("column", "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
+    # sampled and ranked from one evaluation
+    path = shared_folder(df.sparkSession)
+    write_table(counts, path)
+    return rank_values(df.sparkSession.read.schema(counts.schema).parquet(path))
+
+
+def rank_values(counts: DataFrame) -> DataFrame:
+    """Rows (column, value, index) from counts (column, value, n), as :func:`fit_indexes`."""
     ranked = running_totals(
         counts.select(
             "column",
