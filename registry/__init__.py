@@ -5,6 +5,7 @@ from registry import (  # noqa: F401
     datasets,
     evaluation,
     features,
+    jobs,
     monitoring,
     snapshots,
     tables,

@@ -14,14 +14,8 @@ from snapmart.operators.drift import drift
 from snapmart.operators.evaluation import performance
 from snapmart.operators.stability import stability
 from snapmart.plans.training import IDS
-from snapmart.sources.snapshots import (
-    at_snapshot,
-    read_or_empty,
-    read_snapshots,
-    within_months_before,
-    write_snapshots,
-    write_table,
-)
+from snapmart.sources.published import publish, read_published, read_version
+from snapmart.sources.snapshots import at_snapshot, within_months_before
 
 #: the least columns of the tables that a new lake may lack
 PREDICTIONS = """Customer_ID string, loan_id string, feature_snapshot_date date, prediction int,
@@ -50,7 +44,9 @@ def performance_history(
         within_months_before(labels, run_date, months, lag, date_col).select(*keys, "label"),
         list(keys),
     )
-    return performance(pairs, [date_col]).filter(F.col("auc").isNotNull())
+    # even ranges of the probability, so that the join is not run only to find cut points
+    cuts = [i / 64 for i in range(1, 64)]
+    return performance(pairs, [date_col], cuts=cuts).filter(F.col("auc").isNotNull())
 
 
 def drift_table(
@@ -89,9 +85,10 @@ def run_monitoring(
 
     A table that does not exist yet counts as empty, and so do the metrics that follow from it.
     """
-    predictions = read_or_empty(spark, f"{lake}/gold/predictions", PREDICTIONS)
-    labels = read_or_empty(spark, f"{lake}/gold/label_store", LABELS)
-    store = read_or_empty(spark, f"{lake}/gold/feature_store", FEATURES)
+    predictions, labels, store = (
+        read_published(spark, f"{lake}/gold/{name}", schema=schema)
+        for name, schema in (("predictions", PREDICTIONS), ("label_store", LABELS), ("feature_store", FEATURES))
+    )
     run = F.lit(run_date).cast("date")
 
     tables = {
@@ -102,11 +99,9 @@ def run_monitoring(
     metrics = {}
     for name, table in tables.items():
         stamped = stamp(table, monitoring_date=monitoring_date, run_date=run)
-        path = f"{lake}/monitoring/{name}"
-        write_snapshots(stamped, path, "run_date")
-        metrics[name] = read_snapshots(spark, path, schema=stamped.schema)
-
-    metrics = {name: at_snapshot(table, run_date, "run_date") for name, table in metrics.items()}
+        # a rerun that yields no rows any more empties its date
+        now = publish(stamped, f"{lake}/monitoring/{name}", "run_date", span=(run_date, run_date))
+        metrics[name] = read_version(spark, now, run_date, run_date)
     quality = metrics["performance_metrics"]
     scores = metrics["prediction_stability"]
     newest_drift = metrics["feature_drift"]
@@ -114,6 +109,6 @@ def run_monitoring(
         {"performance_metrics": quality, "feature_drift": newest_drift,
          "prediction_stability": scores}
     )
-    write_table(found, f"{lake}/monitoring/availability")
-    write_table(alerts(quality, newest_drift, scores), f"{lake}/monitoring/alerts")
-    write_table(report_rows(quality, newest_drift, scores), f"{lake}/monitoring/report")
+    publish(found, f"{lake}/monitoring/availability", None)
+    publish(alerts(quality, newest_drift, scores), f"{lake}/monitoring/alerts", None)
+    publish(report_rows(quality, newest_drift, scores), f"{lake}/monitoring/report", None)

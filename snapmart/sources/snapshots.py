@@ -6,7 +6,6 @@ import tempfile
 import uuid
 from datetime import date
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,6 +42,22 @@ def between_dates(
     return df
 
 
+def outside_dates(
+    df: DataFrame,
+    date_col: str,
+    start: date | str | None = None,
+    end: date | str | None = None,
+) -> DataFrame:
+    """The rows that :func:`between_dates` leaves out, those without a date included if it does."""
+    if start is None and end is None:
+        return df.limit(0)
+    day = F.col(date_col)
+    outside = F.lit(False) if start is None else day < F.lit(start).cast("date")
+    if end is not None:
+        outside = outside | (day > F.lit(end).cast("date"))
+    return df.filter(day.isNull() | outside)
+
+
 def at_snapshot(df: DataFrame, on: date | str, date_col: str = "snapshot_date") -> DataFrame:
     """The rows of one snapshot."""
     return df.filter(F.col(date_col) == F.lit(on).cast("date"))
@@ -83,22 +98,6 @@ def write_table(df: DataFrame, path: str, rows: Observation | None = None) -> No
     df.write.mode("overwrite").parquet(path)
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    """Whether a table can be read at ``path``."""
-    try:
-        spark.read.parquet(path)
-    except AnalysisException as missing:
-        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-        return False
-    return True
-
-
-def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The table at ``path``, or an empty one with ``schema`` if there is none."""
-    return spark.read.parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
-
-
 def first_of_month(column: Column | str) -> Column:
     column = F.col(column) if isinstance(column, str) else column
     return F.trunc(column.cast("date"), "MM")
@@ -164,11 +163,6 @@ def snapshot_counts(df: DataFrame, date_col: str = "snapshot_date") -> DataFrame
     return df.groupBy(date_col).agg(F.count(F.lit(1)).alias("rows"))
 
 
-def counted(df: DataFrame, rows: Observation) -> DataFrame:
-    """Count the rows that pass this point while another action runs, without a job of its own."""
-    return df.observe(rows, F.count(F.lit(1)).alias("rows"))
-
-
 def union_snapshots(*tables: DataFrame) -> DataFrame:
     """All rows of several snapshot tables, matched by column name; absent columns become NULL."""
     result = tables[0]

@@ -13,6 +13,7 @@ from snapmart.operators import modeling
 from snapmart.plans import extraction, monitoring, training
 from snapmart.sources import schemas
 from snapmart.sources import snapshots as snap
+from snapmart.sources.published import read_published
 
 SF_DIR = "/root/testdata/sf0.001"
 GRIDS = {
@@ -41,7 +42,7 @@ def lake(spark, tmp_path_factory):
 
 
 def read(spark, lake, name):
-    return spark.read.parquet(f"{lake}/{name}")
+    return read_published(spark, f"{lake}/{name}")
 
 
 def test_stores(spark, lake):
