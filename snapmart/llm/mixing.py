@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 from pyspark.sql.window import Window
 
 from snapmart.llm.shared import same, stored
@@ -97,18 +98,21 @@ def mixed(
 
     Returns the columns of ``docs`` plus mix_epoch (pass, from 0), mix_block, mix_start (tokens of
     the source before this draw), mix_weight. Documents without tokens are never drawn. Null is a
-    source of its own. Repeated rows are drawn each. An empty table gives an empty result. A column
+    source of its own. Repeated rows are drawn each, and so are rows that share an id and a text
+    but differ in any other column (maps aside, which Spark does not hash). An empty table gives an empty result. A column
     of ``docs`` with a name of these four is replaced.
     """
     new = ("mix_epoch", "mix_block", "mix_start", "mix_weight")
     columns = [c for c in docs.columns if c not in new]
     row = F.struct(*[F.col(f"`{c}`") for c in columns])
     key = F.xxhash64("doc_id", "text")
+    # names the row: rows that share an id and a text but differ elsewhere are drawn each for itself
+    whole = F.xxhash64(*[F.col(f"`{c}`") for c in columns if not isinstance(docs.schema[c].dataType, MapType)])
     source = docs.select(
-        F.col("doc_id"), F.col("source").cast("string").alias("source"), key.alias("key"),
+        F.col("doc_id"), F.col("source").cast("string").alias("source"), key.alias("key"), whole.alias("whole"),
         token_count(F.col("text")).alias("tokens"),
     )
-    counted = stored(source.groupBy("doc_id", "key", "source", "tokens").agg(F.count(F.lit(1)).alias("rows"))
+    counted = stored(source.groupBy("doc_id", "key", "whole", "source", "tokens").agg(F.count(F.lit(1)).alias("rows"))
                      .filter("tokens > 0"))
     shares = stored(source_shares(counted.select("source", (F.col("tokens") * F.col("rows")).alias("tokens"))))
     size = shares.agg(F.sum("tokens"), F.count(F.lit(1))).first()
@@ -126,7 +130,7 @@ def mixed(
     placed = each.join(plan, same(each.source, plan.plan_source)).withColumn(
         "block", F.pmod(F.xxhash64("key", "copy", F.lit(seed)), F.col("blocks"))
     )
-    placed = stored(placed.select("doc_id", "key", "copy", "source", "tokens", "block"))
+    placed = stored(placed.select("doc_id", "key", "whole", "copy", "source", "tokens", "block"))
     # one row per pass and block: where the block begins in the source's sequence
     blocks = placed.groupBy("source", "block").agg(F.sum("tokens").alias("tokens"))
     passes = F.sequence(F.lit(0), F.greatest(F.ceil(F.col("source_budget") / F.col("source_tokens")) - 1, F.lit(0)).cast("int"))
@@ -142,19 +146,20 @@ def mixed(
     ))
     drawn = placed.join(rounds, same(placed.source, rounds.s) & (placed.block == rounds.b))
     inside = Window.partitionBy("source", "block", "epoch").orderBy(
-        F.xxhash64("key", "copy", "epoch", F.lit(seed)), "key", "doc_id", "copy"
+        F.xxhash64("key", "copy", "epoch", F.lit(seed)), "key", "doc_id", "whole", "copy"
     ).rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("begin") + F.coalesce(F.sum("tokens").over(inside), F.lit(0))
     drawn = stored(drawn.withColumn("start", start).filter("start < source_budget").select(
-        F.col("doc_id").alias("i"), F.col("key").alias("k"), "epoch", "block", "start", "weight"
+        F.col("doc_id").alias("i"), F.col("key").alias("k"), F.col("whole").alias("w"), "epoch", "block", "start", "weight"
     ))
-    # rows that repeat another share its key: the draws of all of them are attached to one
-    again = counted.filter("rows > 1").select(F.col("doc_id").alias("i2"), F.col("key").alias("kk"))
-    full = docs.select(row.alias("row"), F.col("doc_id").alias("k1"), key.alias("k2"))
-    marked = full.join(again, same(F.col("k1"), F.col("i2")) & (F.col("k2") == F.col("kk")), "left")
-    single = marked.filter("kk is null").select("row", "k1", "k2")
-    copies = marked.filter("kk is not null").select("row", "k1", "k2").dropDuplicates(["k1", "k2"])
-    out = single.union(copies).join(drawn, same(F.col("k1"), F.col("i")) & (F.col("k2") == F.col("k")))
+    # rows that repeat another in every column share its key: the draws of all of them are attached to one
+    again = counted.filter("rows > 1").select(F.col("doc_id").alias("ia"), F.col("key").alias("ka"), F.col("whole").alias("wa"))
+    full = docs.select(row.alias("row"), F.col("doc_id").alias("k1"), key.alias("k2"), whole.alias("k3"))
+    alike = lambda i, k, w: same(F.col("k1"), F.col(i)) & (F.col("k2") == F.col(k)) & (F.col("k3") == F.col(w))
+    marked = full.join(again, alike("ia", "ka", "wa"), "left")
+    single = marked.filter("ka is null").select("row", "k1", "k2", "k3")
+    copies = marked.filter("ka is not null").select("row", "k1", "k2", "k3").dropDuplicates(["k1", "k2", "k3"])
+    out = single.union(copies).join(drawn, alike("i", "k", "w"))
     return out.select(
         *[F.col("row")[c].alias(c) for c in columns], F.col("epoch").alias("mix_epoch"),
         F.col("block").alias("mix_block"), F.col("start").alias("mix_start"),

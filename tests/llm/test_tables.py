@@ -90,6 +90,19 @@ def test_exponent(spark):
     assert mixing.fitted_exponent(shares, 100_000, repetition=4.0) == 1
 
 
+def test_mix_of_rows_that_share_id_and_text(spark):
+    rows = [(1, "a b c", "en", "s", 5), (1, "a b c", "en", "t", 5), (2, "d e f", "en", "s", 5), (2, "d e f", "de", "s", 5),
+            (3, "g h", "en", "s", 3), (3, "g h", "en", "s", 3), (None, "i j", None, None, 3), (None, "i j", "xx", None, 3)]
+    out = mixing.mixed(spark.createDataFrame(rows, SCHEMA), budget=21.0, entropy_share=0.0).collect()
+    assert len({(r.source, r.mix_start) for r in out}) == len(out)  # each draw is one row
+    for source in {r[3] for r in rows}:
+        mine = [tuple(r)[:5] for r in out if r.source == source and r.mix_epoch == 0]
+        budget = next(r.mix_weight for r in out if r.source == source) * 21
+        if sum(len(words(r[1])) for r in rows if r[3] == source) <= budget + 1e-6:
+            assert sorted(mine, key=str) == sorted((r for r in rows if r[3] == source), key=str)
+        assert set(mine) <= set(rows)
+
+
 def test_mix_meets_budgets(spark):
     rows = documents(11)
     df = clashing(spark.createDataFrame(rows, SCHEMA).repartition(3))
