@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import date, datetime
 
 import pytest
 from pyspark.sql import Observation
@@ -13,7 +13,7 @@ from snapmart.operators import modeling
 from snapmart.plans import extraction, monitoring, training
 from snapmart.sources import schemas
 from snapmart.sources import snapshots as snap
-from snapmart.sources.published import read_published
+from snapmart.sources.published import carried_over, read_published, resolve
 
 SF_DIR = "/root/testdata/sf0.001"
 GRIDS = {
@@ -68,6 +68,22 @@ def test_rerun_of_one_month_changes_nothing(spark, lake):
     assert sorted(map(str, again.collect())) == rows
 
 
+def test_a_rerun_rewrites_only_what_changed(spark, lake):
+    folder, paths = lake
+    before = resolve(spark, f"{folder}/gold/financials")
+    extraction.run_extraction(spark, paths, folder, "1998-03-01", "1998-03-01")
+    assert resolve(spark, f"{folder}/gold/financials").number == before.number  # no month has changed
+    extraction.gold(spark, folder, "1998-03-01", "1998-03-01")
+    after = resolve(spark, f"{folder}/gold/financials")
+    assert set(after.parts) - carried_over(before, after) == {date(1998, 3, 1)}
+
+
+def test_no_stores_no_model(spark, tmp_path):
+    assert training.run_training(spark, str(tmp_path), GRIDS) is None
+    assert training.run_scoring(spark, str(tmp_path), "2001-01-01") is None
+    assert not list(tmp_path.iterdir())
+
+
 def test_month_by_month_equals_a_backfill(spark, lake, tmp_path):
     folder, paths = lake
     extraction.run_extraction(spark, paths, str(tmp_path), end="1997-12-01")
