@@ -4,13 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from registry.base import derive, query, rounded, saved, with_inputs
+from registry.base import derive, query, rounded, saved, shared_folder, with_inputs
 from registry.evaluation import AUC_SQL, CONFUSION_SQL, RATES_SQL, STABILITY_SQL
 from snapmart.operators import alerts as rules
 from snapmart.operators.drift import drift_summary, high_drift, severity_counts, top_drift
 from snapmart.operators.evaluation import performance
-from snapmart.operators.stability import changes, latest_row, stability, stability_band
-from snapmart.plans.monitoring import drift_table
+from snapmart.operators.stability import (
+    changes,
+    latest_row,
+    merged_stability,
+    rank_distances,
+    rank_error,
+    score_states,
+    stability,
+    stability_band,
+)
+from snapmart.plans.monitoring import drift_from_profiles, drift_table
+from snapmart.sources.published import publish
 
 FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber", "l_suppkey",
             "seasonal_price", "seasonal_quantity", "constant"]
@@ -124,6 +134,73 @@ def drift_shares(spark, sf_dir):
     return rounded(drift_summary(_drift(spark, sf_dir)), "high_share")
 
 
+@query(
+    "q_drift_profiles",
+    with_inputs(
+        DRIFT_CTES,
+        "select feature, drift_severity, "
+        + ", ".join(f"round({c}, 6) as {c}" for c in DRIFT_NUMBERS)
+        + f", '{RUN_DATE}' as snapshot_date, '{BASELINE_DATE}' as baseline_date from drift",
+    ),
+)
+def drift_profiles(spark, sf_dir):
+    """The same from the saved profile of the baseline month, whose rows are read once, for the profile."""
+    lake = shared_folder(spark)
+    lines = derive(spark, sf_dir, "shipped").withColumn("constant", F.lit(7))
+    months = lines.filter(F.col("snapshot_date").isin(RUN_DATE, BASELINE_DATE))
+    publish(months, f"{lake}/gold/feature_store")
+    return rounded(drift_from_profiles(spark, lake, FEATURES, RUN_DATE), *DRIFT_NUMBERS)
+
+
+QUARTER = "cast(date_trunc('quarter', snapshot_date) as date)"
+MERGED_NUMBERS = ["mean_probability", "std_probability", "prediction_rate"]
+
+
+def _monthly_states(spark, sf_dir):
+    """One saved state for each month of the scores, with its quarter."""
+    states = saved(score_states(derive(spark, sf_dir, "scored")))
+    return states.withColumn("quarter", F.expr(QUARTER))
+
+
+@query(
+    "q_stability_merged",
+    with_inputs(
+        {"scored_rows": "select * from {scored}"},
+        f"""
+        select cast({QUARTER} as varchar) as quarter, round(avg(probability), 6) as mean_probability,
+               round(stddev_samp(probability), 6) as std_probability,
+               round(avg(prediction), 6) as prediction_rate, count(*) as total_predictions
+        from scored_rows group by {QUARTER}
+        """,
+    ),
+)
+def stability_merged(spark, sf_dir):
+    """Moments of every quarter, merged from saved monthly states."""
+    merged = merged_stability(_monthly_states(spark, sf_dir), ["quarter"])
+    return rounded(merged.select("quarter", *MERGED_NUMBERS, "total_predictions"), *MERGED_NUMBERS)
+
+
+@query(
+    "q_score_sketch",
+    with_inputs(
+        {"scored_rows": "select * from {scored}"},
+        f"""
+        select cast({QUARTER} as varchar) as quarter, unnest(['p10', 'p50', 'p90']) as quantile,
+               count(*) as rows, 'true' as within
+        from scored_rows group by {QUARTER}
+        """,
+    ),
+)
+def score_sketch(spark, sf_dir):
+    """Whether the quantiles of each quarter, from merged monthly sketches, have ranks within their error."""
+    merged = saved(merged_stability(_monthly_states(spark, sf_dir), ["quarter"]))
+    rows = derive(spark, sf_dir, "scored").withColumn("quarter", F.expr(QUARTER))
+    found = rank_distances(rows, merged, ["quarter"])
+    # a sketch of few rows is exact up to one row
+    allowed = rank_error() + 1 / F.col("rows")
+    return found.select("quarter", "quantile", "rows", (F.col("distance") <= allowed).alias("within"))
+
+
 METRIC_CTES = {
     "confusion": CONFUSION_SQL,
     "rates": RATES_SQL,

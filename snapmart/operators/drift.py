@@ -59,6 +59,26 @@ def _bin(value: Column, low: Column, high: Column, width: Column, bins: int) ->
     return F.when((value < low) | (value > high), -1).otherwise(sum(above[1:], above[0]))
 
 
+def _binned(rows: DataFrame, edges: DataFrame, features: Sequence[str], bins: int, keep: Sequence[str] = ()) -> DataFrame:
+    """(feature, value) pairs with the position of the feature and the value's bin; NULL and NaN are skipped."""
+    # one row per feature; the edges become constants
+    structs = ", ".join(
+        f"named_struct('position', {features.index(e['feature'])}, "
+        f"'value', {_number(e['feature'])}, 'low', {_literal(e['low'])}, "
+        f"'high', {_literal(e['high'])}, 'width', {_literal(e['width'])})"
+        for e in edges.collect()
+    )
+    if not structs:
+        structs = "cast(null as struct<position:int,value:double,low:double,high:double,width:double>)"
+    pairs = rows.selectExpr(*keep, f"inline(array({structs}))").filter(F.col("value").isNotNull())
+    return pairs.withColumn("bin", _bin(F.col("value"), F.col("low"), F.col("high"), F.col("width"), bins))
+
+
+def _named(counted: DataFrame, features: Sequence[str]) -> DataFrame:
+    names = F.array(*[F.lit(f) for f in features]) if features else F.array().cast("array<string>")
+    return counted.withColumn("feature", names[F.col("position")]).drop("position")
+
+
 def histogram(
     baseline: DataFrame,
     current: DataFrame,
@@ -66,7 +86,7 @@ def histogram(
     features: Sequence[str],
     bins: int = BINS,
 ) -> DataFrame:
-    """Per (feature, bin) and for both snapshots: count, mean, sum of squared deviations.
+    """Per (feature, bin) and for both snapshots: count, mean, population variance.
 
     Rows are turned into (feature, value) pairs and merged before the shuffle, so that only one
     row per feature and bin leaves a task. NULL and NaN are skipped.
@@ -74,26 +94,45 @@ def histogram(
     rows = baseline.select(F.lit(True).alias("is_base"), *features).unionByName(
         current.select(F.lit(False).alias("is_base"), *features)
     )
-    # one row per feature; the edges become constants
-    pairs = ", ".join(
-        f"named_struct('position', {features.index(e['feature'])}, "
-        f"'value', {_number(e['feature'])}, 'low', {_literal(e['low'])}, "
-        f"'high', {_literal(e['high'])}, 'width', {_literal(e['width'])})"
-        for e in edges.collect()
-    )
-    pairs = rows.selectExpr("is_base", f"inline(array({pairs}))").filter(F.col("value").isNotNull())
-    number = _bin(F.col("value"), F.col("low"), F.col("high"), F.col("width"), bins)
+    pairs = _binned(rows, edges, features, bins, ["is_base"])
     of = {
         "base": F.when(F.col("is_base"), F.col("value")),
         "now": F.when(~F.col("is_base"), F.col("value")),
     }
-    names = F.array(*[F.lit(f) for f in features])
-    counted = pairs.groupBy("position", number.alias("bin")).agg(
+    counted = pairs.groupBy("position", "bin").agg(
         *[F.count(v).alias(f"{p}_n") for p, v in of.items()],
         *[F.coalesce(F.avg(v), F.lit(0.0)).alias(f"{p}_mean") for p, v in of.items()],
         *[F.coalesce(F.var_pop(v), F.lit(0.0)).alias(f"{p}_var") for p, v in of.items()],
     )
-    return counted.withColumn("feature", names[F.col("position")]).drop("position")
+    return _named(counted, features)
+
+
+def profile(df: DataFrame, edges: DataFrame, features: Sequence[str], bins: int = BINS) -> DataFrame:
+    """Per (feature, bin) of one snapshot: the bin's edges, count, mean, population variance.
+
+    A feature without values has no row. The result has at most ``bins + 1`` rows a feature,
+    whatever the size of the snapshot; saved, it stands for the snapshot in later comparisons.
+    """
+    fields = ["low", "high", "width"]
+    counted = _binned(df, edges, features, bins).groupBy("position", *fields, "bin").agg(
+        F.count("value").alias("n"), F.avg("value").alias("mean"), F.var_pop("value").alias("var")
+    )
+    return _named(counted, features).select("feature", *fields, "bin", "n", "mean", "var")
+
+
+def profile_edges(saved: DataFrame) -> DataFrame:
+    """The edges that a profile was made with, as :func:`fit_edges` gives them."""
+    return saved.select("feature", "low", "high", "width").distinct()
+
+
+def profile_drift(baseline: DataFrame, current: DataFrame, eps: float = EPS) -> DataFrame:
+    """:func:`drift` of two profiles that share the baseline's edges; no snapshot is read."""
+    sides = [
+        p.select("feature", "bin", *[F.col(c).alias(f"{name}_{c}") for c in ("n", "mean", "var")])
+        for name, p in (("base", baseline), ("now", current))
+    ]
+    both = sides[0].join(sides[1], ["feature", "bin"], "full_outer")
+    return _compared(both.fillna(0, [c for c in both.columns if c not in ("feature", "bin")]), eps)
 
 
 def drift(
@@ -109,8 +148,11 @@ def drift(
     no bin. A feature without values in either snapshot is left out. All features are handled in
     one job.
     """
+    return _compared(histogram(baseline, current, fit_edges(baseline, features, bins), features, bins), eps)
+
+
+def _compared(bin_rows: DataFrame, eps: float) -> DataFrame:
     # one row per feature and bin from here on
-    bin_rows = histogram(baseline, current, fit_edges(baseline, features, bins), features, bins)
     feature = Window.partitionBy("feature")
     whole = {}
     for p in ("base", "now"):

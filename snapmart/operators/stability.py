@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -13,6 +13,8 @@ from snapmart.operators.ordering import cut_points, with_range
 
 # Reported quantiles.
 QUANTILES = {"p10": 0.1, "p50": 0.5, "p90": 0.9}
+#: values a rank sketch keeps on its coarsest level; a sketch of so few rows is exact
+SKETCH_SIZE = 800
 
 
 def exact_quantiles(
@@ -109,6 +111,90 @@ def stability(
     return summary.join(ranked, same, "left").select(*order)
 
 
+def rank_error(size: int = SKETCH_SIZE) -> float:
+    """Error of a sketched quantile's rank, as a share of the rows.
+
+    The published error of these sketches is 2.296 / size**0.9021 at 99 %; 1.6 times that holds for
+    all but one quantile in ten thousand, merged or not.
+    """
+    return 1.6 * 2.296 / size**0.9021
+
+
+def score_states(
+    df: DataFrame,
+    by: Sequence[str] = ("snapshot_date",),
+    score: str = "probability",
+    prediction: str = "prediction",
+    size: int = SKETCH_SIZE,
+) -> DataFrame:
+    """What :func:`merged_stability` needs of each snapshot: counts, moments and a rank sketch.
+
+    One pass, merged before the shuffle; a row for each snapshot, a few kilobytes whatever its size.
+    """
+    value = F.col(score).cast("double")
+    return df.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count(value).alias("n_scores"),
+        F.avg(value).alias("mean"),
+        F.var_pop(value).alias("var"),
+        F.count(prediction).alias("n_predictions"),
+        F.sum(F.col(prediction).cast("double")).alias("positives"),
+        F.kll_sketch_agg_double(value, F.lit(size)).alias("sketch"),
+    )
+
+
+def merged_stability(states: DataFrame, by: Sequence[str] = ("snapshot_date",), size: int = SKETCH_SIZE) -> DataFrame:
+    """:func:`stability` over any grouping of saved states, without their rows.
+
+    Mean, deviation, rate and row count are exact; quantiles are values of the table whose rank is
+    within :func:`rank_error` of the one asked for.
+    """
+    whole = F.sum(F.col("n_scores") * F.col("mean")).over(Window.partitionBy(*by)) / F.nullif(
+        F.sum("n_scores").over(Window.partitionBy(*by)), F.lit(0))
+    spread = F.col("n_scores") * (F.col("var") + F.pow(F.col("mean") - F.col("_center"), 2))
+    merged = states.withColumn("_center", whole).groupBy(*by).agg(
+        F.max("_center").alias("mean_probability"),
+        F.sqrt(F.sum(spread) / F.nullif(F.sum("n_scores") - 1, F.lit(0))).alias("std_probability"),
+        (F.sum("positives") / F.nullif(F.sum("n_predictions"), F.lit(0))).alias("prediction_rate"),
+        F.sum("n").alias("total_predictions"),
+        F.sum("n_scores").alias("_scores"),
+        F.kll_merge_agg_double("sketch", F.lit(size)).alias("_sketch"),
+    )
+    value = lambda q: F.when(F.col("_scores") > 0, F.kll_sketch_get_quantile_double("_sketch", F.lit(q)))
+    return merged.select(
+        *by, "mean_probability", "std_probability", "prediction_rate",
+        *[value(q).alias(name) for name, q in QUANTILES.items()], "total_predictions",
+    )
+
+
+def rank_distances(
+    df: DataFrame, quantiles: DataFrame, by: Sequence[str], score: str = "probability"
+) -> DataFrame:
+    """How far the exact rank of each quantile in ``quantiles`` lies from the one it stands for.
+
+    Rows ``by, quantile, rows, distance``: distance is a share of the rows, 0 if the rank asked for
+    falls on a row that has the value. One pass over ``df``, merged before the shuffle.
+    """
+    found = quantiles.select(*[F.col(b).alias(f"_{b}") for b in by], *QUANTILES)
+    alike = reduce(lambda a, b: a & b, [F.col(b).eqNullSafe(F.col(f"_{b}")) for b in by], F.lit(True))
+    rows = df.filter(F.col(score).isNotNull()).select(*by, F.col(score).alias("_score")).join(found, alike)
+    counts = rows.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("rows"),
+        *[F.count_if(F.col("_score") < F.col(name)).alias(f"{name}_below") for name in QUANTILES],
+        *[F.count_if(F.col("_score") <= F.col(name)).alias(f"{name}_upto") for name in QUANTILES],
+    )
+
+    def distance(name: str, q: float) -> Column:
+        low, high = F.col(f"{name}_below") / F.col("rows"), F.col(f"{name}_upto") / F.col("rows")
+        return F.greatest(low - q, q - high, F.lit(0.0))
+
+    each = [
+        F.struct(F.lit(name).alias("quantile"), "rows", distance(name, q).alias("distance"))
+        for name, q in QUANTILES.items()
+    ]
+    return counts.select(*by, F.inline(F.array(*each)))
+
+
 def newest_run(table: DataFrame, date_col: str = "snapshot_date", run_col: str = "monitoring_date") -> DataFrame:
     """Metric rows of several runs: per snapshot the one of the newest run."""
     columns = [c for c in table.columns if c != date_col]

@@ -13,7 +13,7 @@ from snapmart.operators import modeling
 from snapmart.plans import extraction, monitoring, training
 from snapmart.sources import schemas
 from snapmart.sources import snapshots as snap
-from snapmart.sources.published import carried_over, read_published, resolve
+from snapmart.sources.published import carried_over, publish, read_published, resolve
 
 SF_DIR = "/root/testdata/sf0.001"
 GRIDS = {
@@ -138,6 +138,49 @@ def test_training_scoring_monitoring(spark, lake):
     assert found["prediction_stability"] and found["feature_drift"]
 
 
+def test_later_months_read_saved_profiles(spark, tmp_path):
+    lake, names = str(tmp_path), ["x", "y"]
+    rows = spark.sql("""select double(id % 7) as x, double(id % 5) * month(d) as y, d as snapshot_date
+        from range(60) cross join (select explode(array(date'2024-01-01', date'2024-07-01')) as d)""")
+    publish(rows, f"{lake}/gold/feature_store")
+
+    def found(day):
+        table = monitoring.drift_from_profiles(spark, lake, names, day)
+        return sorted(map(tuple, table.select("feature", F.round("psi", 9), F.round("current_mean", 9)).collect()))
+
+    def wanted(day):
+        table = monitoring.drift_table(read(spark, lake, "gold/feature_store"), names, day)
+        return sorted(map(tuple, table.select("feature", F.round("psi", 9), F.round("current_mean", 9)).collect()))
+
+    profiles = f"{lake}/monitoring/feature_profiles"
+    assert found("2024-07-01") == wanted("2024-07-01") and len(wanted("2024-07-01")) == 2
+    first = resolve(spark, profiles).number
+    assert found("2024-07-01") == wanted("2024-07-01") and resolve(spark, profiles).number == first  # read back
+    saved = monitoring.saved_months(  # None as maker: no month is read again
+        spark, profiles, f"{lake}/gold/feature_store", [date(2024, 1, 1), date(2024, 7, 1)], None)
+    assert {str(r[0]) for r in saved.select("snapshot_date").distinct().collect()} == {"2024-01-01", "2024-07-01"}
+    # a baseline that is written anew gets a new profile
+    publish(rows.filter("snapshot_date = '2024-01-01'").withColumn("y", F.col("y") + 3), f"{lake}/gold/feature_store")
+    assert found("2024-07-01") == wanted("2024-07-01") and resolve(spark, profiles).number == first + 1
+    assert found("2024-02-01") == []  # neither month exists
+    assert monitoring.drift_from_profiles(spark, f"{lake}/none", names, "2024-07-01") is None
+
+
+def test_stability_from_saved_states(spark, tmp_path):
+    lake = str(tmp_path)
+    rows = spark.sql("""select id / 500 as probability, cast(id % 3 = 0 as int) as prediction,
+        add_months(date'2024-01-01', cast(id % 4 as int)) as snapshot_date from range(500)""")
+    assert monitoring.stability_from_states(spark, lake, "2024-04-01") is None
+    publish(rows, f"{lake}/gold/predictions")
+    got = {r["snapshot_date"]: r for r in monitoring.stability_from_states(spark, lake, "2024-04-01", 3).collect()}
+    want = {r["snapshot_date"]: r for r in monitoring.stability_history(rows, "2024-04-01", 3).collect()}
+    assert set(got) == set(want) and len(want) == 3
+    for day, row in want.items():
+        assert got[day]["total_predictions"] == row["total_predictions"]
+        assert got[day]["mean_probability"] == pytest.approx(row["mean_probability"])
+        assert got[day]["p50"] == pytest.approx(row["p50"], abs=0.02)
+
+
 def test_header_only_source_gives_empty_tables(spark, tmp_path):
     paths = write_sources(spark, tmp_path, empty=("clickstream",))
     header = ",".join(schemas.CLICKSTREAM_TYPES)

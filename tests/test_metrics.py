@@ -8,8 +8,18 @@ import pytest
 from pyspark.sql import functions as F
 
 from snapmart.operators import alerts, evaluation
-from snapmart.operators.drift import drift, fit_edges, histogram
-from snapmart.operators.stability import changes, exact_quantiles, latest_row, newest_run, stability
+from snapmart.operators.drift import drift, fit_edges, histogram, profile, profile_drift, profile_edges
+from snapmart.operators.stability import (
+    changes,
+    exact_quantiles,
+    latest_row,
+    merged_stability,
+    newest_run,
+    rank_distances,
+    rank_error,
+    score_states,
+    stability,
+)
 
 
 def brute_auc(pairs):
@@ -135,6 +145,49 @@ def test_drift_like_numpy(spark):
     assert got["shifted"]["drift_severity"] == "high"
 
 
+def test_profiles_stand_for_their_snapshots(spark):
+    """Saved profiles give the drift of the snapshots, holes, constants and absent features included."""
+    base = spark.sql("""select double(id % 17) as a, if(id % 3 = 0, null, id * 0.5) as holes, 3 as constant,
+        cast(null as double) as empty, double('NaN') as odd from range(200)""")
+    now = spark.sql("""select double(id % 23) as a, id * 0.75 as holes, if(id < 9, 4, 3) as constant,
+        1.0d as empty, double(id) as odd from range(150)""")
+    names = base.columns
+    saved = profile(base, fit_edges(base, names), names)
+    assert saved.groupBy("feature").count().filter("count > 10").count() == 0
+    current = profile(now, profile_edges(saved), names)
+    got = {r["feature"]: r for r in profile_drift(saved, current).collect()}
+    want = {r["feature"]: r for r in drift(base, now, names).collect()}
+    assert set(got) == set(want) == {"a", "holes", "constant"}
+    for f, row in want.items():
+        assert got[f]["drift_severity"] == row["drift_severity"]
+        for c in ("psi", "baseline_mean", "current_mean", "baseline_std", "current_std"):
+            assert got[f][c] == pytest.approx(row[c], abs=1e-9)
+    nothing = profile(base.limit(0), fit_edges(base.limit(0), names), names)
+    assert nothing.count() == 0 and profile_drift(nothing, nothing).count() == 0
+    assert profile(now, profile_edges(nothing), names).count() == 0
+
+
+def test_merged_states_like_the_rows(spark):
+    """Moments are exact, ranks of sketched quantiles within the stated error, over any grouping."""
+    rows = spark.sql("""select add_months(date'2024-01-01', cast(id % 4 as int)) as snapshot_date,
+        if(id % 11 = 0, null, pow(rand(5), 3)) as probability, cast(id % 3 = 0 as int) as prediction from range(40000)
+        union all select date'2024-05-01', null, 1
+        union all select date'2024-06-01', 0.25d, null""").withColumn("half", F.month("snapshot_date") <= 2).cache()
+    states = score_states(rows, ["snapshot_date", "half"])
+    for by in (["snapshot_date"], ["half"], []):
+        got = {tuple(r[b] for b in by): r for r in merged_stability(states, by).collect()}
+        want = {tuple(r[b] for b in by): r for r in stability(rows.withColumn("one", F.lit(1)), by or ["one"]).collect()}
+        assert set(got) == set(want)
+        for key, row in want.items():
+            assert got[key]["total_predictions"] == row["total_predictions"]
+            for c in ("mean_probability", "std_probability", "prediction_rate"):
+                assert got[key][c] == (None if row[c] is None else pytest.approx(row[c]))
+        errors = rank_distances(rows, merged_stability(states, by), by).collect()
+        assert errors and all(e["distance"] <= rank_error() + 1 / e["rows"] for e in errors)
+    assert rank_error(100) > rank_error(800) > 0
+    assert merged_stability(score_states(rows.limit(0))).count() == 0
+
+
 def test_histogram_keeps_all_rows(spark):
     base = spark.createDataFrame([(float(i),) for i in range(100)], "v double")
     now = spark.createDataFrame([(float(i),) for i in range(50, 150)], "v double")
