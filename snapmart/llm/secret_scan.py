@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -72,7 +73,8 @@ def samples(docs: DataFrame, rows: int = 2000) -> DataFrame:
 
     Random: digests of doc_ids, written in base 64, in hex and in letters and digits. Ordinary:
     the text's runs of the alphabet that have no digit next to a letter, as they are and in upper
-    case, and neighbouring runs joined in the styles of identifiers.
+    case, neighbouring runs joined in the styles of identifiers and of paths, and rulers, dates and
+    numbers as texts hold them.
     """
     ids = stored(
         docs.select("doc_id").filter("doc_id is not null").distinct()
@@ -100,14 +102,24 @@ def samples(docs: DataFrame, rows: int = 2000) -> DataFrame:
         F.concat_ws("_", F.upper("p.a"), F.upper("p.b")),
         F.concat(F.col("p.a"), F.lit("="), F.abs(F.hash("p.b")) % 1000),
     )).alias("run"))
-    return random.withColumn("random", F.lit(True)).union(ordinary.withColumn("random", F.lit(False)))
+    # a ruler of each kind, a date and two numbers for every sampled document
+    day = F.date_add(F.lit("2000-01-01").cast("date"), (F.abs(F.hash("_id")) % 12000).cast("int")).cast("string")
+    number = (F.abs(F.xxhash64("_id")) % 1000000).cast("string")
+    plain = ids.select(F.explode(F.array(
+        *[F.repeat(F.lit(c), 24) for c in "-=_/+"],
+        *[F.repeat(F.lit(a + b), 12) for a, b in combinations("-=_/+", 2)], F.concat_ws("_", day, day), F.concat_ws("-", number, number),
+    )).alias("run"))
+    return random.withColumn("random", F.lit(True)).union(ordinary.union(plain).withColumn("random", F.lit(False)))
 
 
 def train(labelled: DataFrame) -> list[float]:
     """Log-likelihood ratio, random against ordinary, of every pair of neighbouring characters.
 
-    Two first-order Markov models of ``labelled(run, random)`` with half a count added to each
-    pair. The table has a row per pair of the alphabet, whatever the number of samples.
+    Two first-order Markov models of ``labelled(run, random)``. Each class's counts are scaled to the
+    same total, the smaller of the two, so that unlike numbers of samples say nothing by themselves:
+    for second characters as a whole, with half a count added to each, and for the pairs after each
+    first character, smoothed towards those frequencies with the weight of half the alphabet. The
+    table has a row per pair of the alphabet, whatever the number of samples.
     """
     size = len(ALPHABET)
     codes = labelled.filter(F.length("run") > 1).select("random", _codes(F.col("run")).alias("c"))
@@ -116,37 +128,78 @@ def train(labelled: DataFrame) -> list[float]:
     )).alias("pair"))
     counts = {(r.random, r.pair): r.n for r in pairs.groupBy("random", "pair").agg(
         F.count(F.lit(1)).alias("n")).collect()}
+    count = lambda k, a, b: counts.get((k, a * size + b), 0)
+    prior = _alike([[sum(count(k, a, b) for a in range(size)) for b in range(size)] for k in (False, True)],
+                   [[1 / size] * size] * 2)
     table = []
     for a in range(size):
-        total = [sum(counts.get((k, a * size + b), 0) for b in range(size)) + 0.5 * size for k in (False, True)]
-        for b in range(size):
-            p = [(counts.get((k, a * size + b), 0) + 0.5) / total[k] for k in (False, True)]
-            table.append(round(math.log(p[1] / p[0]), 6))
+        ordinary, random = _alike([[count(k, a, b) for b in range(size)] for k in (False, True)], prior)
+        table += [round(math.log(r / o), 6) for o, r in zip(ordinary, random)]
     return table
 
 
-def random_runs(text: Column, model: list[float], least: float = 12.0, per_character: float = 0.7) -> Column:
-    """Spans of whole runs of 16 characters or more that look random.
+def _alike(counts: list[list[int]], prior: list[list[float]]) -> list[list[float]]:
+    """Probabilities of both classes from counts scaled to the smaller total, smoothed towards ``prior``."""
+    totals = [sum(c) for c in counts]
+    least, weight = min(totals), len(ALPHABET) / 2
+    return [
+        [(n * least / t + weight * p if t else weight * p) / (least + weight) for n, p in zip(c, q)]
+        for c, t, q in zip(counts, totals, prior)
+    ]
+
 
-    The sum of the model's ratios over a run must reach ``least`` and ``per_character`` times the
-    number of its pairs.
+def random_runs(
+    text: Column, model: list[float], least: float = 12.0, per_character: float = 1.8, cost: float = 0.35,
+    shortest: int = 12,
+) -> Column:
+    """Spans of random stretches within runs of 16 characters or more, the best one of each run.
+
+    The best stretch is the one with the greatest sum of the model's ratios less ``cost`` a pair,
+    the first of equal ones, so an ordinary part before or after it does not count. It is a span if
+    it has ``shortest`` characters and its sum of ratios reaches ``least`` and ``per_character``
+    times the number of its pairs.
     """
-    size, table = len(ALPHABET), F.lit(model)
+    size = len(ALPHABET)
+    table = F.lit([x - cost for x in model])
+    none = F.expr(f"cast(array() as {_SPANS})")
 
-    def looks_random(match: Column) -> Column:
-        codes = _codes(match)
-        state = F.struct(F.lit(-1).alias("c"), F.lit(0.0).alias("sum"))
+    def best(match: Column) -> Column:
+        """Start and length of the best stretch and its sum; one pass along the run."""
+        state = F.struct(
+            F.lit(-1).alias("c"), F.lit(0).alias("at"), F.lit(0).alias("first"), F.lit(0.0).alias("sum"),
+            F.lit(0).alias("b_first"), F.lit(0).alias("b_last"), F.lit(0.0).alias("b_sum"),
+        )
 
         def step(acc: Column, c: Column) -> Column:
             more = F.when(acc.c >= 0, F.get(table, F.greatest(acc.c, F.lit(0)) * size + c)).otherwise(0.0)
-            return F.struct(c.alias("c"), (acc["sum"] + more).alias("sum"))
-
-        score = F.aggregate(codes, state, step)["sum"]
-        return (score >= least) & (score >= per_character * (F.length(match) - 1))
-
-    return F.when(text.rlike(RUN), _spans(text, RUN, 3, looks_random)).otherwise(
-        F.expr(f"cast(array() as {_SPANS})")
-    )
+            total = acc["sum"] + more
+            anew = total <= 0  # nothing before this character helps
+            first = F.when(anew, acc["at"]).otherwise(acc["first"])
+            now = F.when(anew, F.lit(0.0)).otherwise(total)
+            better = now > acc.b_sum
+            return F.struct(
+                c.alias("c"), (acc["at"] + 1).alias("at"), first.alias("first"), now.alias("sum"),
+                F.when(better, first).otherwise(acc.b_first).alias("b_first"),
+                F.when(better, acc["at"]).otherwise(acc.b_last).alias("b_last"),
+                F.when(better, now).otherwise(acc.b_sum).alias("b_sum"),
+            )
+
+        return F.aggregate(_codes(match), state, step, lambda acc: F.struct(
+            acc.b_first.alias("first"), (acc.b_last - acc.b_first + 1).alias("n"), acc.b_sum.alias("sum")))
+
+    def cut(run: Column) -> Column:
+        """The part of a run's span that is random, as an array of no or one span."""
+        found = F.transform(
+            F.array(best(F.substring(text, run.start + 1, run.end - run.start))),
+            lambda b: F.struct((run.start + b["first"]).alias("start"), run["rank"].alias("rank"),
+                               (run.start + b["first"] + b.n).alias("end"), b["sum"].alias("sum")),
+        )
+        pairs = lambda x: x.end - x.start - 1
+        wanted = F.filter(found, lambda x: (x.end - x.start >= shortest) & (x["sum"] + cost * pairs(x) >= least)
+                          & (x["sum"] + cost * pairs(x) >= per_character * pairs(x)))
+        return F.transform(wanted, lambda x: F.struct(x.start.alias("start"), x["rank"].alias("rank"), x.end.alias("end")))
+
+    return F.when(text.rlike(RUN), F.flatten(F.transform(_spans(text, RUN, 3), cut))).otherwise(none)
 
 
 def secret_spans(docs: DataFrame, model: list[float]) -> DataFrame:

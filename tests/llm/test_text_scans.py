@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import math
 import random
@@ -10,6 +11,7 @@ import zlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from snapmart.llm import decontamination, language_model, licenses, quality_rules, secret_scan
 from tests.llm.helpers import SCHEMA, clashing, documents, words
@@ -210,8 +212,57 @@ def test_model_ratios(spark):
     pairs = spark.createDataFrame([("aB", True), ("aB", True), ("ab", False), ("x", True)], "run string, random boolean")
     model, size = secret_scan.train(pairs), len(secret_scan.ALPHABET)
     at = lambda x, y: model[secret_scan.ALPHABET.index(x) * size + secret_scan.ALPHABET.index(y)]
-    assert at("a", "B") == pytest.approx(math.log((2.5 / (2 + size / 2)) / (0.5 / (1 + size / 2))), abs=1e-6)
-    assert at("z", "z") == 0
+    # second characters: two of "B", one of "b", scaled to one in each class, half a count for each character
+    whole = 1 + size / 2
+    seen, unseen = 1.5 / whole, 0.5 / whole
+    # the pairs after "a": scaled to one as well, smoothed towards the second characters
+    after = lambda n, p: (n + size / 2 * p) / whole
+    assert at("a", "B") == pytest.approx(math.log(after(1, seen) / after(0, unseen)), abs=1e-6)
+    assert at("a", "b") == pytest.approx(math.log(after(0, unseen) / after(1, seen)), abs=1e-6)
+    assert at("z", "B") == pytest.approx(math.log(seen / unseen), abs=1e-6)
+    assert at("z", "z") == at("a", "c") == 0
+
+
+def brute_stretch(text, model, least=12.0, per_character=1.8, cost=0.35, shortest=12):
+    """Best stretch of every run by trying all of them; the first of equal ones."""
+    at = secret_scan.ALPHABET.index
+    out = []
+    for run in re.finditer("[A-Za-z0-9+/_=-]{16,}", text or ""):
+        step = [model[at(x) * len(secret_scan.ALPHABET) + at(y)] for x, y in zip(run[0], run[0][1:])]
+        best = (0.0, 0, 0)
+        for i in range(len(step)):
+            total = 0.0
+            for j in range(i, len(step)):
+                total += step[j] - cost
+                if total > best[0] + 1e-9:
+                    best = (total, i, j + 1)
+        pairs = best[2] - best[1]
+        ratio = best[0] + cost * pairs
+        if pairs + 1 >= shortest and ratio >= least and ratio >= per_character * pairs:
+            out.append((run.start() + best[1], run.start() + best[2] + 1))
+    return out
+
+
+PLAIN = ["-" * 32, "=" * 40, "_" * 30, "/" * 20, "+-" * 20, "=-=" * 9, "2024-01-01_2024-12-31", "1234567890123456"]
+
+
+def test_random_stretches(spark):
+    """Spans of the model equal brute force; rulers and dates give none, whatever stands around them."""
+    model = secret_scan.train(secret_scan.samples(
+        spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), rows=200))
+    strings = [base64.b64encode(hashlib.sha512(str(i).encode()).digest()).decode()[:40] for i in range(40)]
+    path = "/some/ordinary/path/of/words/that/is/rather/long/"
+    texts = [None, "", *PLAIN, *strings, *[f"é {path}{x} end" for x in strings], *[f"{x}/{path}" for x in strings],
+             f"{strings[0]} {strings[1]}\n{PLAIN[0]} {strings[2]}", "".join(strings[3:6]) + PLAIN[1]]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {r.id: [(x.start, x.end) for x in r.s or []] for r in df.select(
+        "id", secret_scan.random_runs(F.coalesce("text", F.lit("")), model).alias("s")).collect()}
+    assert got == {i: brute_stretch(t, model) for i, t in enumerate(texts)}
+    assert not any(got[i + 2] for i in range(len(PLAIN)))
+    planted = [i for i, t in enumerate(texts) if t and any(x in t for x in strings[:40]) and i < 122]
+    assert sum(bool(got[i]) for i in planted) >= 0.9 * len(planted)
+    ruler = spark.createDataFrame([(1, "Title\n" + PLAIN[0] + "\ntext", 9)], "doc_id long, text string, n_chars long")
+    assert secret_scan.redacted(ruler, model).first().text == "Title\n" + PLAIN[0] + "\ntext"
 
 
 def test_held_out_accuracy(spark):
