@@ -27,9 +27,11 @@ def _codes(run: Column) -> Column:
     return F.transform(F.split(run, ""), lambda c: F.get(F.lit(place), F.ascii(c)))
 
 
-def _spans(text: Column, pattern: str, rank: int, keep=None, value: int = 0) -> Column:
+def _spans(text: Column, pattern: str, rank: int, keep=None, value: int = 0, cut=None) -> Column:
     """Spans of the matches for which ``keep`` holds of the group ``value``, in code points.
 
+    With ``cut``, the spans that it makes of a match and the match's start instead.
+
     Matches and the gaps before them are walked side by side, so a text costs one pass.
     """
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -42,6 +44,8 @@ def _spans(text: Column, pattern: str, rank: int, keep=None, value: int = 0) ->
         first = acc.at + F.length(x["1"])
         last = first + F.length(F.coalesce(x["0"], F.lit("")))  # no match after the last gap
         span = F.array(F.struct(first.alias("start"), F.lit(rank).alias("rank"), last.alias("end")))
+        if cut is not None:
+            span = cut(x["0"], first)
         wanted = x["0"].isNotNull()
         if keep is not None:
             wanted = wanted & keep(x["2" if value else "0"])
@@ -187,19 +191,17 @@ def random_runs(
         return F.aggregate(_codes(match), state, step, lambda acc: F.struct(
             acc.b_first.alias("first"), (acc.b_last - acc.b_first + 1).alias("n"), acc.b_sum.alias("sum")))
 
-    def cut(run: Column) -> Column:
-        """The part of a run's span that is random, as an array of no or one span."""
-        found = F.transform(
-            F.array(best(F.substring(text, run.start + 1, run.end - run.start))),
-            lambda b: F.struct((run.start + b["first"]).alias("start"), run["rank"].alias("rank"),
-                               (run.start + b["first"] + b.n).alias("end"), b["sum"].alias("sum")),
-        )
+    def cut(run: Column, start: Column) -> Column:
+        """The part of a run that is random, as an array of no or one span."""
+        found = F.transform(F.array(best(run)), lambda b: F.struct(
+            (start + b["first"]).alias("start"), F.lit(3).alias("rank"),
+            (start + b["first"] + b.n).alias("end"), b["sum"].alias("sum")))
         pairs = lambda x: x.end - x.start - 1
         wanted = F.filter(found, lambda x: (x.end - x.start >= shortest) & (x["sum"] + cost * pairs(x) >= least)
                           & (x["sum"] + cost * pairs(x) >= per_character * pairs(x)))
         return F.transform(wanted, lambda x: F.struct(x.start.alias("start"), x["rank"].alias("rank"), x.end.alias("end")))
 
-    return F.when(text.rlike(RUN), F.flatten(F.transform(_spans(text, RUN, 3), cut))).otherwise(none)
+    return F.when(text.rlike(RUN), _spans(text, RUN, 3, cut=cut)).otherwise(none)
 
 
 def secret_spans(docs: DataFrame, model: list[float]) -> DataFrame:
