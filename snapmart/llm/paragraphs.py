@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from snapmart.llm.near import Rule, near_groups, tuned
 from snapmart.llm.shared import same, stored
-from snapmart.llm.words import MULTIPLIER, MinHash, mix, shingles, spans, word_hashes
+from snapmart.llm.words import MULTIPLIER, MinHash, mix, spans, word_hashes
 
 #: 11 bands of 4 values find a pair of similarity 0.8 with probability 0.995, one of 0.9 with 0.99999
 RULE = Rule(num=80, den=100, bands=tuned(0.8, 0.995, 4), rows=4)
@@ -165,68 +165,121 @@ def _repeated(docs: DataFrame, rule: Rule, least_words: int, shingle: int = 5) -
     )
 
 
-def _grams(text: bytes | None, size: int) -> np.ndarray:
-    words = word_hashes(text, lower=True)
-    return shingles(words, size) if len(words) >= size else words[:0]
-
-
-def _rows(keys: pd.Series, anchors: list[np.ndarray]) -> pd.DataFrame:
-    """A row per key and anchor."""
-    lengths = [len(a) for a in anchors]
-    found = np.concatenate(anchors) if anchors else np.zeros(0, np.int64)
-    return pd.DataFrame({"key": np.repeat(keys.to_numpy(), lengths), "anchor": found})
-
-
-def _anchors(size: int):
-    """Runs of half of ``size`` words that are the least by hash in some run of ``size`` words.
-
-    Which one is least depends on those words only, so equal runs have an equal anchor.
+#: texts that are hashed together, in bytes; a longer text is hashed by itself
+TOGETHER = 1 << 22
+
+
+def _together(pdf: pd.DataFrame):
+    """Slices of neighbouring rows whose texts have about TOGETHER bytes."""
+    upto = pdf.text.map(len).cumsum().to_numpy() // TOGETHER
+    edges = np.flatnonzero(np.diff(upto, prepend=-1, append=-1))
+    for begin, end in zip(edges[:-1], edges[1:], strict=True):
+        yield pdf.iloc[begin:end]
+
+
+def _joined(texts: pd.Series) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The texts with line ends between them, the row of each word, and each row's first word."""
+    text = b"\n".join(texts)
+    begins = np.cumsum(np.array([0] + [len(t) + 1 for t in texts[:-1]]))
+    starts, _ = spans(np.frombuffer(text, np.uint8))
+    row = np.searchsorted(begins, starts, "right") - 1
+    return text, row, np.searchsorted(row, np.arange(len(begins)))
+
+
+def _windows(words: np.ndarray, size: int) -> np.ndarray:
+    """Hash of each run of ``size`` words, put together from runs of powers of two."""
+    if len(words) < size:
+        return words[:0]
+    block, length, out, done = words, 1, None, 0
+    while done < size:
+        if size & length:
+            n = len(words) - done - length + 1
+            power = np.uint64(pow(int(MULTIPLIER), length, 1 << 64))
+            out = block if out is None else out[:n] * power + block[done:done + n]
+            done += length
+        if done < size:
+            power = np.uint64(pow(int(MULTIPLIER), length, 1 << 64))
+            block = block[:-length] * power + block[length:]
+            length *= 2
+    return mix(out + np.uint64(size))
+
+
+def _least(values: np.ndarray, view: int) -> np.ndarray:
+    """Place of the least value among each ``view`` neighbours, the first of equal ones."""
+    at, reach = np.arange(len(values)), 1
+    while 2 * reach <= view:
+        a, b = at[:-reach], at[reach:]
+        at = np.where(values[b] < values[a], b, a)
+        reach *= 2
+    n = len(values) - view + 1
+    a, b = at[:n], at[view - reach:view - reach + n]
+    return np.where(values[b] < values[a], b, a)
+
+
+def _blocks(size: int):
+    """Blocks of neighbouring runs of ``size`` words that have the same anchor at the same place.
+
+    The anchor of a run is the least by hash of its runs of half that many words. It depends on
+    those words only, so equal runs have equal anchors and lie at the same place of their block.
     """
     half = size // 2
+    view = size - half + 1
 
     def run(batches):
-        view = size - half + 1
         for pdf in batches:
-            out = []
-            for text in pdf.text:
-                found = _grams(text, half)
-                # over a power of two of neighbours at a time, then two overlapping such parts
-                reach = 1
-                least = found
-                while 2 * reach <= view and len(least) > reach:
-                    least = np.minimum(least[:-reach], least[reach:])
-                    reach *= 2
-                least = np.minimum(least[:len(found) - view + 1], least[view - reach:]) if len(found) >= view else found[:0]
-                out.append(np.unique(least).view(np.int64))
-            yield _rows(pdf.key, out)
+            for part in _together(pdf):
+                text, row, base = _joined(part.text)
+                words = word_hashes(text, lower=True)
+                if len(words) < size:
+                    continue
+                anchors, runs = _windows(words, half), _windows(words, size)
+                place = _least(anchors, view)
+                at = np.flatnonzero(row[:len(runs)] == row[size - 1:])
+                if not len(at):
+                    continue
+                new = np.append(True, (np.diff(at) != 1) | (np.diff(place[at]) != 0))  # noqa: FBT003
+                n = np.diff(np.append(np.flatnonzero(new), len(at)))
+                at = at[new]
+                # first and last run overlap, so they hold all words of the block
+                content = mix(runs[at] * MULTIPLIER + runs[at + n - 1] + n.astype(np.uint64))
+                of = row[at]
+                yield pd.DataFrame({
+                    "doc_id": part.doc_id.to_numpy()[of], "key": part.key.to_numpy()[of], "at": at - base[of], "n": n,
+                    "anchor": anchors[place[at]].view(np.int64), "content": content.view(np.int64),
+                }).astype({"doc_id": "Int64"})
 
     return run
 
 
-def _places(size: int):
-    """Every run of ``size`` words that holds one of the row's anchors: its place, span and hash."""
-    half = size // 2
-
+def _runs_of(size: int):
+    """Every run of ``size`` words of the blocks asked for: block, place in it, hash."""
     def run(batches):
         for pdf in batches:
-            for doc_id, key, text, anchors in zip(pdf.doc_id, pdf.key, pdf.text, pdf.anchors, strict=True):
-                marks = np.isin(_grams(text, half), np.array(anchors, np.int64).view(np.uint64))
-                upto = np.concatenate(([0], np.cumsum(marks)))
-                view = size - half + 1
-                at = np.flatnonzero(upto[view:] > upto[:-view])
-                if not len(at):
-                    continue
-                raw = np.frombuffer(text, np.uint8)
-                starts, ends = spans(raw)
-                points = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
-                yield pd.DataFrame({
-                    "doc_id": doc_id, "key": key, "at": at, "start": points[starts[at]],
-                    "end": points[ends[at + size - 1]], "run": _grams(text, size)[at].view(np.int64),
-                }).astype({"doc_id": "Int64"})
+            for part in _together(pdf):
+                text, _, base = _joined(part.text)
+                runs = _windows(word_hashes(text, lower=True), size)
+                lengths = [len(a) for a in part["at"]]
+                n = np.concatenate([np.asarray(a, np.int64) for a in part.n])
+                at = np.concatenate([np.asarray(a, np.int64) for a in part["at"]]) + np.repeat(base, lengths)
+                i = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                content = np.concatenate([np.asarray(a, np.int64) for a in part.content])
+                yield pd.DataFrame({"content": np.repeat(content, n), "i": i,
+                                    "run": runs[np.repeat(at, n) + i].view(np.int64)})
 
     return run
 
 
+def _spots(batches):
+    """Span in code points of each word asked for."""
+    for pdf in batches:
+        for key, text, asked in zip(pdf.key, pdf.text, pdf.asked, strict=True):
+            raw = np.frombuffer(text, np.uint8)
+            starts, ends = spans(raw)
+            points = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
+            asked = np.asarray(asked, np.int64)
+            yield pd.DataFrame({"key": key, "word": asked, "start": points[starts[asked]], "end": points[ends[asked]]})
+
+
 def repeated_runs(docs: DataFrame, size: int = 50) -> DataFrame:
     """Passages of ``docs(doc_id, text)`` of ``size`` or more words that occur more than once, word for word.
 
@@ -235,49 +288,66 @@ def repeated_runs(docs: DataFrame, size: int = 50) -> DataFrame:
     first by doc_id (null first), hash of the row and place stays. A row per longest stretch of
     neighbouring runs that stay, or that go: doc_id, start and end (code points, end excluded),
     n_words, kept_doc_id and kept_start (of the first run), occurrences (of the most frequent run)
-    and removed. Rows that repeat a doc_id and text count once.
+    and removed. Rows that repeat a doc_id and text count once; null and empty texts have no runs,
+    an empty table gives an empty result, a very long text is one row of a task.
 
-    Only rows that share an anchor with another place are looked at in full, and these in all of
-    their runs that hold one, so no repeated run is lost.
+    Texts are cut into blocks of neighbouring runs with one anchor. Equal blocks are one: its single
+    runs are looked at only where blocks differ around the same anchor, so the work for copies is a
+    row per block, and no repeated run is lost.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     source = source.filter("text is not null").withColumn("key", F.xxhash64("doc_id", "text"))
-    anchors = stored(source.select("key", "text").mapInPandas(_anchors(size), "key long, anchor long"))
-    # an anchor of one row only may still stand there twice: runs within a row are found through it
-    seen = anchors.groupBy("anchor").agg(F.min("key").alias("a"), F.max("key").alias("b"))
-    inside = stored(source.select("key", "text").mapInPandas(_twice(size), "key long, anchor long"))
-    wanted = anchors.join(seen.filter("a <> b").select("anchor"), "anchor").select("key", "anchor")
-    lists = wanted.unionByName(inside).groupBy("key").agg(F.collect_set("anchor").alias("anchors"))
-    places = source.join(lists, "key").select("doc_id", "key", "text", "anchors").mapInPandas(
-        _places(size), "doc_id long, key long, at long, start long, end long, run long")
-    places = stored(places.dropDuplicates(["key", "at"]))
-    first = F.min(F.struct("doc_id", "key", "at", "start")).alias("first")
-    runs = places.groupBy("run").agg(first, F.count(F.lit(1)).alias("rows")).filter("rows > 1")
-    found = places.join(runs, "run").withColumn(
-        "removed", (F.col("key") != F.col("first.key")) | (F.col("at") != F.col("first.at")))
+    texts = source.select("key", "text")
+    blocks = stored(source.mapInPandas(
+        _blocks(size), "doc_id long, key long, at long, n long, anchor long, content long"))
+    shared = blocks.groupBy("anchor").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("anchor")
+    blocks = stored(blocks.join(shared, "anchor").distinct())
+    rows = F.count(F.lit(1)).alias("rows")
+    contents = stored(blocks.groupBy("anchor", "content").agg(
+        F.min(F.struct("doc_id", "key", "at")).alias("first"), F.max("n").alias("n"), rows))
+    several = contents.groupBy("anchor").agg(rows).filter("rows > 1").select("anchor")
+    mixed = stored(contents.join(several, "anchor"))
+
+    asked = mixed.groupBy("first.key").agg(  # at most the blocks of one text
+        F.collect_list(F.struct("first.at", "n", "content")).alias("b")).select("key", "b.at", "b.n", "b.content")
+    runs = texts.join(asked, "key").mapInPandas(_runs_of(size), "content long, i long, run long").distinct()
+    runs = stored(runs.join(mixed.select("content", "first", "rows"), "content"))
+    place = F.struct("first.doc_id", "first.key", (F.col("first.at") + F.col("i")).alias("at"))
+    whole = runs.groupBy("run").agg(F.min(place).alias("f"), F.sum("rows").alias("rows")).filter("rows > 1")
+    each = runs.select("content", "i", "run").join(whole, "run").withColumn("shift", F.col("f.at") - F.col("i"))
+    alike = ["content", "f.doc_id", "f.key", "shift", "rows"]
+    order = Window.partitionBy("content", "f.key", "shift", "rows").orderBy("i")  # at most a block's runs
+    parts = each.withColumn("part", F.col("i") - F.row_number().over(order)).groupBy(*alike, "part").agg(
+        F.min("i").alias("low"), F.max("i").alias("high"))
+    f = F.struct(F.col("doc_id"), F.col("key"), (F.col("shift") + F.col("low")).alias("at")).alias("f")
+    parts = parts.select("content", "low", "high", f, "rows").unionByName(
+        contents.join(several, "anchor", "left_anti").filter("rows > 1").select(
+            "content", F.lit(0).cast("long").alias("low"), (F.col("n") - 1).alias("high"), F.col("first").alias("f"), "rows"))
+
+    found = blocks.join(parts, "content").select(
+        "doc_id", "key", (F.col("at") + F.col("low")).alias("at"), (F.col("at") + F.col("high")).alias("last"), "f", "rows")
+    found = found.withColumn("removed", (F.col("key") != F.col("f.key")) | (F.col("at") != F.col("f.at")))
     row = Window.partitionBy("key", "removed").orderBy("at")
-    new = F.when(F.col("at") == F.lag("at").over(row) + 1, 0).otherwise(1)
-    stretch = found.withColumn("new", new).withColumn("stretch", F.sum("new").over(row))
-    return stretch.groupBy("doc_id", "key", "removed", "stretch").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), (F.count(F.lit(1)) + size - 1).alias("n_words"),
-        F.min(F.struct("at", "first")).alias("f"), F.max("rows").alias("occurrences"),
-    ).select("doc_id", "start", "end", "n_words", F.col("f.first.doc_id").alias("kept_doc_id"),
-             F.col("f.first.start").alias("kept_start"), "occurrences", "removed")
-
-
-def _twice(size: int):
-    """Anchors at more than one place of a row, where any stands."""
-    half = size // 2
-
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for text in pdf.text:
-                found = np.sort(_grams(text, half))
-                out.append(np.unique(found[1:][found[1:] == found[:-1]]).view(np.int64))
-            yield _rows(pdf.key, out)
-
-    return run
+    new = F.when(F.col("at") == F.lag("last").over(row) + 1, 0).otherwise(1)
+    stretches = found.withColumn("new", new).withColumn("stretch", F.sum("new").over(row))
+    stretches = stored(stretches.groupBy("doc_id", "key", "removed", "stretch").agg(
+        F.min("at").alias("first"), (F.max("last") + size - 1).alias("last"), F.min(F.struct("at", "f")).alias("f"),
+        F.max("rows").alias("occurrences"),
+    ).select("doc_id", "key", "removed", "first", "last", F.col("f.f").alias("f"), "occurrences"))
+
+    own = stretches.select("key", F.explode(F.array("first", "last")).alias("word"))
+    wanted = own.union(stretches.select("f.key", "f.at")).groupBy("key").agg(F.collect_set("word").alias("asked"))
+    spots = stored(texts.join(wanted, "key").mapInPandas(
+        _spots, "key long, word long, start long, end long").distinct())
+    begin, end, kept = spots.alias("b"), spots.alias("e"), spots.alias("k")
+    return (
+        stretches.alias("s")
+        .join(begin, (F.col("s.key") == F.col("b.key")) & (F.col("s.first") == F.col("b.word")))
+        .join(end, (F.col("s.key") == F.col("e.key")) & (F.col("s.last") == F.col("e.word")))
+        .join(kept, (F.col("s.f.key") == F.col("k.key")) & (F.col("s.f.at") == F.col("k.word")))
+        .select("s.doc_id", "b.start", "e.end", (F.col("s.last") - F.col("s.first") + 1).alias("n_words"),
+                F.col("s.f.doc_id").alias("kept_doc_id"), F.col("k.start").alias("kept_start"), "occurrences", "removed")
+    )
 
 
 def repeated_passages(docs: DataFrame, size: int = 50) -> DataFrame:
