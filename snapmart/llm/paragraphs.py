@@ -69,18 +69,48 @@ class Paragraphs:
         return lines, last[lines], points[begin], points[end], sizes, first, run, hashes
 
 
+#: texts that are hashed together, in bytes; a longer text is hashed by itself
+TOGETHER = 1 << 22
+
+
+def _together(pdf: pd.DataFrame):
+    """Slices of neighbouring rows whose texts have about TOGETHER bytes."""
+    upto = pdf.text.map(len).cumsum().to_numpy() // TOGETHER
+    edges = np.flatnonzero(np.diff(upto, prepend=-1, append=-1))
+    for begin, end in zip(edges[:-1], edges[1:], strict=True):
+        yield pdf.iloc[begin:end]
+
+
+def _parted(texts: pd.Series) -> tuple[bytes, np.ndarray]:
+    """The texts with blank lines between them, so that no paragraph crosses, and where each begins."""
+    return b"\n\n".join(texts), np.cumsum(np.array([0] + [len(t) + 2 for t in texts[:-1]]))
+
+
+def _joined(texts: pd.Series) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The texts with blank lines between them, the row of each word, and each row's first word."""
+    text, begins = _parted(texts)
+    starts, _ = spans(np.frombuffer(text, np.uint8))
+    row = np.searchsorted(begins, starts, "right") - 1
+    return text, row, np.searchsorted(row, np.arange(len(begins)))
+
+
 def _found(maker: Paragraphs):
     def run(batches):
         for pdf in batches:
-            out = []
-            for doc_id, text in zip(pdf.doc_id, pdf.text, strict=True):
+            for part in _together(pdf):
+                text, begins = _parted(part.text)
                 found = maker.of(text)
-                if found is not None:
-                    lines, last, begin, end, sizes, _, _, hashes = found
-                    out.append(pd.DataFrame({"doc_id": doc_id, "paragraph": lines, "last": last, "start": begin, "end": end,
-                                             "unit": hashes, "n": sizes}))
-            if out:
-                yield pd.concat(out).astype({"doc_id": "Int64"})
+                if found is None:
+                    continue
+                lines, last, begin, end, sizes, _, _, hashes = found
+                raw = np.frombuffer(text, np.uint8)
+                points = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))[begins]
+                base = np.searchsorted(np.flatnonzero(raw == 10), begins)  # lines before each text
+                row = np.searchsorted(base, lines, "right") - 1
+                yield pd.DataFrame({
+                    "doc_id": part.doc_id.to_numpy()[row], "paragraph": lines - base[row], "last": last - base[row],
+                    "start": begin - points[row], "end": end - points[row], "unit": hashes, "n": sizes,
+                }).astype({"doc_id": "Int64"})
 
     return run
 
@@ -90,18 +120,20 @@ def _keys(maker: Paragraphs, rule: Rule):
 
     def run(batches):
         for pdf in batches:
-            for text in pdf.text:
-                found = maker.of(text)
+            for part in _together(pdf):
+                found = maker.of(_parted(part.text)[0])
                 if found is None:
                     continue
                 _, _, _, _, _, first, run, hashes = found
-                high = (run >> np.uint64(32)).astype(np.uint32)[:, None]
-                sig = np.minimum.reduceat(high * signer.a + signer.b, first, axis=0)
-                rows = sig.reshape(len(first), rule.bands, rule.rows).astype(np.uint64)
+                high = (run >> np.uint64(32)).astype(np.uint32)
+                # one hash function at a time: memory stays that of the words
+                sig = np.stack([np.minimum.reduceat(high * a + b, first) for a, b in zip(signer.a, signer.b, strict=True)], 1)
+                _, one = np.unique(hashes, return_index=True)
+                rows = sig[one].reshape(len(one), rule.bands, rule.rows).astype(np.uint64)
                 key = np.broadcast_to(np.arange(rule.bands, dtype=np.uint64), rows.shape[:2])
                 for k in range(rule.rows):
                     key = mix(key * MULTIPLIER + rows[:, :, k])
-                yield pd.DataFrame({"unit": hashes, "keys": list(key.view(np.int64))})
+                yield pd.DataFrame({"unit": hashes[one], "keys": list(key.view(np.int64))})
 
     return run
 
@@ -109,11 +141,14 @@ def _keys(maker: Paragraphs, rule: Rule):
 def _sets(maker: Paragraphs):
     def run(batches):
         for pdf in batches:
-            for text in pdf.text:
-                found = maker.of(text)
-                if found is not None:
-                    _, _, _, _, _, first, run, hashes = found
-                    yield pd.DataFrame({"unit": hashes, "set": [x.tobytes() for x in np.split(run, first[1:])]})
+            for part in _together(pdf):
+                found = maker.of(_parted(part.text)[0])
+                if found is None:
+                    continue
+                _, _, _, _, _, first, run, hashes = found
+                whole = np.split(run, first[1:])
+                _, one = np.unique(hashes, return_index=True)
+                yield pd.DataFrame({"unit": hashes[one], "set": [whole[k].tobytes() for k in one]})
 
     return run
 
@@ -140,6 +175,7 @@ def _repeated(docs: DataFrame, rule: Rule, least_words: int, shingle: int = 5) -
     """:func:`repeated_paragraphs` with ``last``, the number of the paragraph's last line."""
     maker = Paragraphs(least_words, shingle)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    source = source.filter("text is not null")
     found = stored(source.mapInPandas(
         _found(maker), "doc_id long, paragraph long, last long, start long, end long, unit long, n long"
     ).dropDuplicates(["doc_id", "paragraph", "unit"]))
@@ -165,27 +201,6 @@ def _repeated(docs: DataFrame, rule: Rule, least_words: int, shingle: int = 5) -
     )
 
 
-#: texts that are hashed together, in bytes; a longer text is hashed by itself
-TOGETHER = 1 << 22
-
-
-def _together(pdf: pd.DataFrame):
-    """Slices of neighbouring rows whose texts have about TOGETHER bytes."""
-    upto = pdf.text.map(len).cumsum().to_numpy() // TOGETHER
-    edges = np.flatnonzero(np.diff(upto, prepend=-1, append=-1))
-    for begin, end in zip(edges[:-1], edges[1:], strict=True):
-        yield pdf.iloc[begin:end]
-
-
-def _joined(texts: pd.Series) -> tuple[bytes, np.ndarray, np.ndarray]:
-    """The texts with line ends between them, the row of each word, and each row's first word."""
-    text = b"\n".join(texts)
-    begins = np.cumsum(np.array([0] + [len(t) + 1 for t in texts[:-1]]))
-    starts, _ = spans(np.frombuffer(text, np.uint8))
-    row = np.searchsorted(begins, starts, "right") - 1
-    return text, row, np.searchsorted(row, np.arange(len(begins)))
-
-
 def _windows(words: np.ndarray, size: int) -> np.ndarray:
     """Hash of each run of ``size`` words, put together from runs of powers of two."""
     if len(words) < size:
