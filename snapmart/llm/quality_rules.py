@@ -82,24 +82,26 @@ def quartiles(sketch: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def quality_verdicts(docs: DataFrame, least_rows: int = 100, reach: int = 3) -> DataFrame:
+def quality_verdicts(docs: DataFrame, parent_rows: int = 20, reach: int = 3) -> DataFrame:
     """Measures and verdict of every row of ``docs(doc_id, text, lang, source)``.
 
     A document fails the base rules with under 50 words or with over half of its words in repeated
     3-word windows. Of those that pass, one is kept while each metric lies between the quartiles
     widened by ``reach`` times their distance, at least by the metric's slack: mean word length
     (hundredths), symbols per 1000 words, repeated lines per 1000, words in repeats per 1000.
-    Quartiles come from all documents that pass the base rules, of the same language and source;
-    with fewer than ``least_rows`` of them, of the language; with fewer again, of all.
+    Quartiles come from all documents that pass the base rules, of the same language and source.
+    The bounds of a language are averaged with those of all documents, these counting as
+    ``parent_rows`` documents, and the bounds of a language and source likewise with those of the
+    language. So a small group leans on its parent, and no number of rows turns a verdict by itself.
 
     Null and empty texts have no words and fail. Null languages and sources are groups of their
     own. Repeated rows each get a row. An empty table gives an empty result; other columns are
     ignored.
     """
-    return _verdicts(docs, least_rows, reach).drop("key", "lang", "source")
+    return _verdicts(docs, parent_rows, reach).drop("key", "lang", "source")
 
 
-def _verdicts(docs: DataFrame, least_rows: int = 100, reach: int = 3) -> DataFrame:
+def _verdicts(docs: DataFrame, parent_rows: int = 20, reach: int = 3) -> DataFrame:
     """:func:`quality_verdicts` with the hash of the text, language and source, to find the row again."""
     source = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"),
@@ -144,14 +146,12 @@ def _verdicts(docs: DataFrame, least_rows: int = 100, reach: int = 3) -> DataFra
         .join(langs.alias("l"), same(F.col("g.lang"), F.col("l.lang")))
         .join(everything, "one")
     )
+    blend = lambda rows, own, parent: (F.col(rows) * own + parent_rows * parent) / (F.col(rows) + parent_rows)
     chosen = {}
     for m in FENCES:
         for end in ("low", "high"):
-            level = lambda k: F.col(f"{m}_{end}{k}")  # noqa: B023, E731
-            chosen[f"{m}_{end}"] = (
-                F.when(F.col("rows2") >= least_rows, level(2)).when(F.col("rows1") >= least_rows, level(1))
-                .otherwise(level(0))
-            )
+            of_all, of_lang, of_pair = (F.col(f"{m}_{end}{k}") for k in range(3))
+            chosen[f"{m}_{end}"] = blend("rows2", of_pair, blend("rows1", of_lang, of_all))
     table = stored(found.select(
         F.col("g.lang").alias("lang_"), F.col("g.source").alias("source_"), *[c.alias(n) for n, c in chosen.items()]
     ))

@@ -101,7 +101,7 @@ def brute_contaminated(docs, items, masks, window=20, share=80):
 
 def test_decontamination(spark):
     rnd = random.Random(8)
-    vocabulary = [f"w{k}é" for k in range(300)]
+    vocabulary = [f"w{k}é" for k in range(600)]
     prose = lambda n: [rnd.choice(vocabulary) for _ in range(n)]
     items = [(k, " ".join(prose(rnd.choice([3, 6, 9, 11, 15, 40])))) for k in range(12)]
     items += [(90, None), (91, ""), (3, items[3][1])]
@@ -299,7 +299,7 @@ def bin_of(x):
     return x >> shift << shift
 
 
-def brute_verdicts(rows, least=100):
+def brute_verdicts(rows, weight=100):
     metric = {
         "word_length": lambda m, _: m[1] * 100 // max(m[0], 1), "symbols": lambda m, _: m[2] * 1000 // max(m[0], 1),
         "dup_lines": lambda m, t: m[3] * 1000 // max((t.count("\n") + 1) if t else 0, 1),
@@ -310,35 +310,47 @@ def brute_verdicts(rows, least=100):
     out = []
     for r, m in each:
         keep = not failed(m)
-        if keep:
-            peers = []
-            for test in (lambda x: x[2:4] == r[2:4], lambda x: x[2] == r[2], lambda x: True):  # noqa: B023
-                peers = [(q, n) for q, n in each if test(q) and not failed(n)]
-                if len(peers) >= least:
-                    break
-            for name, (lower, upper, slack) in quality_rules.FENCES.items():
-                values = sorted(bin_of(metric[name](n, q[1])) for q, n in peers)
+        for name, (lower, upper, slack) in quality_rules.FENCES.items() if keep else ():
+            low = high = None
+            for test in (lambda x: True, lambda x: x[2] == r[2], lambda x: x[2:4] == r[2:4]):  # noqa: B023
+                values = sorted(bin_of(metric[name](n, q[1])) for q, n in each if test(q) and not failed(n))
                 q1, q3 = (values[math.ceil(len(values) * q / 100) - 1] for q in (25, 75))
-                v, wide = metric[name](m, r[1]), max(3 * (q3 - q1), slack)
-                keep = keep and not (lower and v < max(q1 - wide, 0)) and not (upper and v > q3 + wide)
+                wide, n = max(3 * (q3 - q1), slack), len(values)
+                own = max(q1 - wide, 0), q3 + wide
+                low = own[0] if low is None else (n * own[0] + weight * low) / (n + weight)
+                high = own[1] if high is None else (n * own[1] + weight * high) / (n + weight)
+            v = metric[name](m, r[1])
+            keep = keep and not (lower and v < low) and not (upper and v > high)
         out.append((r[0], *m, failed(m), keep))
     return sorted(out)
 
 
-@pytest.mark.parametrize("least", [5, 30, 10_000])
-def test_quality_rules(spark, least):
+@pytest.mark.parametrize("weight", [5, 30, 10_000])
+def test_quality_rules(spark, weight):
     rows = documents(9)
     junk = "Foo*** bar### <b> | " * 5 + " ".join(f"u{i}" for i in range(60))
     rows += [(5000, junk, "en", "a", 1), (5001, "same line of words here\n" * 40, "en", "a", 1),
              (5002, "\n".join(f"l{i} m{i} n{i} o{i} p{i}" for i in range(30)) + "\nq r s\n" * 8, "xx", None, 1),
              (5003, " ".join("w" * 30 + str(i) for i in range(80)), "en", "a", 1)]
     df = clashing(spark.createDataFrame(rows, SCHEMA).repartition(3))
-    got = sorted(tuple(r) for r in quality_rules.quality_verdicts(df, least_rows=least).collect())
-    assert got == brute_verdicts(rows, least)
+    got = sorted(tuple(r) for r in quality_rules.quality_verdicts(df, parent_rows=weight).collect())
+    assert got == brute_verdicts(rows, weight)
     kept = quality_rules.keep_by_quality(df)
     assert kept.columns == df.columns
 
 
+def test_verdicts_do_not_turn_with_the_number_of_rows(spark):
+    rnd = random.Random(4)
+    word = lambda k: "".join(rnd.choice("abcdefgh") for _ in range(k))
+    usual = [(k, " ".join(word(4) for _ in range(60)), "en", "big", 1) for k in range(600)]
+    odd = [(1000 + k, " ".join(word(7) for _ in range(60)), "en", "odd", 1) for k in range(101)]
+    kept = []
+    for n in (99, 100, 101):
+        rows = spark.createDataFrame(usual + odd[:n], SCHEMA)
+        kept.append(quality_rules.quality_verdicts(rows).filter("kept and doc_id >= 1000").count() / n)
+    assert kept == [1.0] * 3
+
+
 def test_quality_of_nothing(spark):
     assert quality_rules.quality_verdicts(spark.createDataFrame([], SCHEMA)).count() == 0
     assert quality_rules.keep_by_quality(spark.createDataFrame([], SCHEMA)).count() == 0
