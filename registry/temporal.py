@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from registry.base import derive, query, table, with_inputs
+from registry.base import derive, query, saved, table, with_inputs
 from snapmart.operators.delinquency import delinquency, label_at
 from snapmart.operators.temporal import (
     Dated,
@@ -59,13 +59,16 @@ def asof_latest(spark, sf_dir):
     ),
 )
 def asof_unmatched(spark, sf_dir):
-    """Each customer month of shipments with the newest earlier month of orders, if there is one."""
-    clicks = derive(spark, sf_dir, "click_months").select(
+    """Each customer month of shipments with the newest earlier month of orders, if there is one.
+
+    The join reads both sides several times, so they are derived once and saved.
+    """
+    clicks = saved(derive(spark, sf_dir, "click_months").select(
         "cust", F.col("snapshot_date").alias("click_date"), "q"
-    )
-    spend = derive(spark, sf_dir, "customer_months").select(
+    ))
+    spend = saved(derive(spark, sf_dir, "customer_months").select(
         "cust", F.col("snapshot_date").alias("spend_date"), "spent"
-    )
+    ))
     return latest_before(clicks, spend, ["cust"], "click_date", "spend_date", how="left")
 
 

@@ -46,6 +46,10 @@ def test_as_of_join_without_repeated_dates_ranks_nothing(spark):
     assert [r["v"] for r in found.collect()] == ["a"]
 
 
+def test_derived_sides_of_the_as_of_join_are_saved(spark):
+    assert not any("lineitem" in f for f in QUERIES["q_asof_unmatched"](spark, SF).inputFiles())
+
+
 def test_queries_run_with_the_settings_of_the_library(spark):
     name = "spark.sql.codegen.hugeMethodLimit"
     spark.conf.set(name, "65535")
