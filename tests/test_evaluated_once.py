@@ -7,8 +7,11 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from registry import QUERIES
+from registry.base import derive
+from snapmart.operators.datasets import stratified_folds
 from snapmart.operators.features import multi_hot
 from snapmart.operators.temporal import latest_before, one_per_group
+from snapmart.plans.training import training_set
 
 SF = "/root/testdata/sf0.001"
 
@@ -50,8 +53,25 @@ def test_derived_sides_of_the_as_of_join_are_saved(spark):
     assert not any("lineitem" in f for f in QUERIES["q_asof_unmatched"](spark, SF).inputFiles())
 
 
+def test_pairs_of_the_training_set_are_joined_once(spark):
+    lines = derive(spark, SF, "shipped")
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "snapshot_date"]
+    data = training_set(lines.select(*keys, "l_quantity"), lines.select(*keys, "label"), keys)
+    assert not any("lineitem" in f for f in data.inputFiles())
+
+
 def test_queries_run_with_the_settings_of_the_library(spark):
     name = "spark.sql.codegen.hugeMethodLimit"
     spark.conf.set(name, "65535")
     QUERIES["q_silver_loan_book"](spark, SF)
     assert spark.conf.get(name) == "8000"
+
+
+def test_folds_do_not_shuffle_the_hashes_of_all_rows(spark, monkeypatch):
+    seen = []
+    joined = type(spark.range(1)).join
+    monkeypatch.setattr(type(spark.range(1)), "join", lambda self, *a, **k: seen.append(joined(self, *a, **k)) or seen[-1])
+    rows = spark.range(3_000_000).select("id", (F.col("id") % 2).alias("label"))
+    sizes = stratified_folds(rows, "label", ["id"], 2).groupBy("label", "fold").count().collect()
+    assert {r["count"] for r in sizes} == {750_000} and len(sizes) == 4
+    assert seen and not any("SortMergeJoin" in plan(df) for df in seen)
