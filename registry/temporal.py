@@ -213,6 +213,7 @@ def range_join(spark, sf_dir):
         "fifth", F.col("o_custkey").alias("cust"), "o_orderkey", F.col("o_orderdate").cast("date").alias("at"))
     pending = orders.filter("o_orderstatus = 'P'").select(
         "fifth", F.col("o_orderkey").alias("earlier_key"), F.col("o_orderdate").cast("date").alias("earlier"))
-    pairs = bucketed_before(urgent, pending, ["fifth"], "at", "earlier", days=92, most=100)
-    return pairs.groupBy("cust", "o_orderkey").agg(
-        F.count(F.lit(1)).alias("earlier"), F.sum("earlier_key").alias("key_sum"), F.max("earlier").alias("newest"))
+    met = bucketed_before(urgent, pending, ["fifth"], "at", "earlier", days=92, most=100, totals={
+        "n": ("count", "earlier"), "key_sum": ("sum", "earlier_key"), "newest": ("max", "earlier")})
+    return met.groupBy("cust", "o_orderkey").agg(
+        F.sum("n").alias("earlier"), F.sum("key_sum").alias("key_sum"), F.max("newest").alias("newest"))
