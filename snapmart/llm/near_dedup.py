@@ -118,11 +118,16 @@ def without_near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     )
     kept = stored(least.unionByName(blank).select(
         F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("rows").alias("_rows")))
-    rows = docs.join(kept, same(docs.doc_id.cast("long"), kept["_id"]) & (text_key(docs) == kept["_key"]))
+    # rows of no pair below stay as they are; whole rows move for pairs that repeat only, while they are few
+    twice = stored(kept.filter("_rows > 1"))
+    pairs = signed.select(F.col("doc_id").alias("id"), "key").distinct()
+    gone = pairs.join(kept, same(pairs.id, kept["_id"]) & (pairs.key == kept["_key"]), "left_anti").toDF("_id", "_key")
+    gone = stored(gone.unionByName(twice.select("_id", "_key")))
     columns = [docs[f"`{c}`"] for c in docs.columns]
-    once = rows.filter(kept["_rows"] == 1).select(*columns)
-    again = rows.filter(kept["_rows"] > 1).select(
-        kept["_id"].alias("id"), kept["_key"].alias("key"), F.struct(*columns).alias("row"))
+    of = lambda table: same(docs.doc_id.cast("long"), table["_id"]) & (text_key(docs) == table["_key"])
+    once = docs.join(gone, of(gone), "left_anti")
+    again = docs.join(twice, of(twice)).select(
+        twice["_id"].alias("id"), twice["_key"].alias("key"), F.struct(*columns).alias("row"))
     again = stored(again.withColumn("tie", F.xxhash64(F.to_json("row"))))
     first = again.groupBy("id", "key").agg(F.min("tie").alias("tie")).select(
         F.col("id").alias("id_"), F.col("key").alias("key_"), F.col("tie").alias("tie_"))

@@ -45,3 +45,20 @@ def test_quality_of_rows_of_one_id(spark, shared):
     rows = [(shared, PROSE[0], None, "a", 1), (shared, "too short", None, "a", 1), (shared, None, "en", None, 1)]
     df = spark.createDataFrame(rows, SCHEMA)
     assert [tuple(r) for r in quality_rules.keep_by_quality(df).collect()] == rows[:1]
+
+
+def test_whole_rows_stay_in_place_while_few_go(spark):
+    """The rows that go decide the last join, not those that stay: whole rows are not shuffled for a few copies."""
+    own = [(k, " ".join(f"w{k}x{j}" for j in range(30)), "en", "a", 1) for k in range(1500)]
+    rows = [*own, (9000, own[3][1], "en", "a", 1), own[5], (5, own[5][1], "en", "b", 2), (None, own[7][1], "en", "a", 1)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20k")
+    try:
+        out = near_dedup.without_near_duplicates(df)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        got = sorted((r.doc_id, r.text) for r in out.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == [(k, t) for k, t, *_ in own]
+    assert "LeftAnti, BuildRight" in plan
