@@ -56,7 +56,9 @@ class Paragraphs:
         run, at = mix(run), line[:n]
         good = (at == line[self.size - 1:]) & chosen[at]
         run, at = run[good], at[good]
-        order = np.lexsort((run, at))
+        order = np.argsort(run)
+        place = at.astype(np.uint16) if len(count) <= 1 << 16 else at  # short numbers sort in linear time
+        order = order[np.argsort(place[order], kind="stable")]
         run, at = run[order], at[order]
         new = np.ones(len(run), bool)
         new[1:] = (run[1:] != run[:-1]) | (at[1:] != at[:-1])
@@ -94,7 +96,10 @@ def _joined(texts: pd.Series) -> tuple[bytes, np.ndarray, np.ndarray]:
     return text, row, np.searchsorted(row, np.arange(len(begins)))
 
 
-def _found(maker: Paragraphs):
+def _found(maker: Paragraphs, rule: Rule):
+    """Paragraphs with their band keys; a set that repeats within a slice has them at its first place only."""
+    signer = MinHash(rule.bands, rule.rows)
+
     def run(batches):
         for pdf in batches:
             for part in _together(pdf):
@@ -102,29 +107,11 @@ def _found(maker: Paragraphs):
                 found = maker.of(text)
                 if found is None:
                     continue
-                lines, last, begin, end, sizes, _, _, hashes = found
+                lines, last, begin, end, sizes, first, run, hashes = found
                 raw = np.frombuffer(text, np.uint8)
                 points = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))[begins]
                 base = np.searchsorted(np.flatnonzero(raw == 10), begins)  # lines before each text
                 row = np.searchsorted(base, lines, "right") - 1
-                yield pd.DataFrame({
-                    "doc_id": part.doc_id.to_numpy()[row], "paragraph": lines - base[row], "last": last - base[row],
-                    "start": begin - points[row], "end": end - points[row], "unit": hashes, "n": sizes,
-                }).astype({"doc_id": "Int64"})
-
-    return run
-
-
-def _keys(maker: Paragraphs, rule: Rule):
-    signer = MinHash(rule.bands, rule.rows)
-
-    def run(batches):
-        for pdf in batches:
-            for part in _together(pdf):
-                found = maker.of(_parted(part.text)[0])
-                if found is None:
-                    continue
-                _, _, _, _, _, first, run, hashes = found
                 high = (run >> np.uint64(32)).astype(np.uint32)
                 # one hash function at a time: memory stays that of the words
                 sig = np.stack([np.minimum.reduceat(high * a + b, first) for a, b in zip(signer.a, signer.b, strict=True)], 1)
@@ -133,7 +120,13 @@ def _keys(maker: Paragraphs, rule: Rule):
                 key = np.broadcast_to(np.arange(rule.bands, dtype=np.uint64), rows.shape[:2])
                 for k in range(rule.rows):
                     key = mix(key * MULTIPLIER + rows[:, :, k])
-                yield pd.DataFrame({"unit": hashes[one], "keys": list(key.view(np.int64))})
+                keys = np.full(len(hashes), None, object)
+                for k, x in zip(one, key.view(np.int64), strict=True):
+                    keys[k] = x
+                yield pd.DataFrame({
+                    "doc_id": part.doc_id.to_numpy()[row], "paragraph": lines - base[row], "last": last - base[row],
+                    "start": begin - points[row], "end": end - points[row], "unit": hashes, "n": sizes, "keys": keys,
+                }).astype({"doc_id": "Int64"})
 
     return run
 
@@ -176,13 +169,14 @@ def _repeated(docs: DataFrame, rule: Rule, least_words: int, shingle: int = 5) -
     maker = Paragraphs(least_words, shingle)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     source = source.filter("text is not null")
-    found = stored(source.mapInPandas(
-        _found(maker), "doc_id long, paragraph long, last long, start long, end long, unit long, n long"
-    ).dropDuplicates(["doc_id", "paragraph", "unit"]))
+    # places and band keys in one pass over the texts
+    signed = stored(source.mapInPandas(
+        _found(maker, rule),
+        "doc_id long, paragraph long, last long, start long, end long, unit long, n long, keys array<long>"))
+    found = stored(signed.drop("keys").dropDuplicates(["doc_id", "paragraph", "unit"]))
     place = F.struct("doc_id", "paragraph")
     classes = stored(found.groupBy("unit").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("rows")))
-    units = stored(source.mapInPandas(_keys(maker, rule), "unit long, keys array<long>").groupBy("unit").agg(
-        F.first("keys").alias("keys")))
+    units = stored(signed.filter("keys is not null").groupBy("unit").agg(F.first("keys").alias("keys")))
 
     def sets_of(needed: DataFrame) -> DataFrame:
         ids = classes.join(needed, "unit").select(F.col("first.doc_id").alias("id")).distinct()

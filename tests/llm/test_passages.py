@@ -57,3 +57,22 @@ def test_wrapped_paragraphs_with_changes(spark):
     got = {(r.doc_id, r.paragraph, r.start, r.end, r.removed) for r in paragraphs.repeated_paragraphs(df).collect()}
     assert got == {(1, 2, 9, len(rows[0][1]) - 5, False), (2, 0, 0, len(rows[1][1]), True)}
     assert {r.doc_id: r.text for r in paragraphs.without_repeats(df).collect()} == {1: rows[0][1], 2: "", 3: rows[2][1]}
+
+
+def test_paragraphs_are_signed_in_the_pass_that_finds_them(spark, monkeypatch):
+    """Every text is cut into paragraphs once for places and band keys, and once more for the sets asked for."""
+    cut = spark.sparkContext.accumulator(0)
+    of = paragraphs.Paragraphs.of
+
+    class Counting(paragraphs.Paragraphs):
+        def of(self, text):
+            cut.add(len(text))
+            return of(self, text)
+
+    monkeypatch.setattr(paragraphs, "Paragraphs", Counting)
+    rnd = random.Random(3)
+    prose = [" ".join(f"w{rnd.randrange(10**5)}" for _ in range(40)) for _ in range(30)]
+    df = spark.createDataFrame([*enumerate(prose), (90, prose[3]), (91, f"{prose[4]}\n\n{prose[4]}")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.paragraph, r.kept_doc_id, r.removed) for r in paragraphs.repeated_paragraphs(df).collect())
+    assert got == [(3, 0, 3, False), (4, 0, 4, False), (90, 0, 3, True), (91, 0, 4, True), (91, 2, 4, True)]
+    assert sum(map(len, prose)) < cut.value < 1.5 * sum(map(len, prose))
