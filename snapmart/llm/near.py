@@ -109,6 +109,17 @@ def _labelled(df: DataFrame, labels: DataFrame, unit: str, label: str) -> DataFr
     return df.join(labels.toDF(unit, label), unit, "left").withColumn(label, F.coalesce(label, unit))
 
 
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` of all links so far once ``links`` come to them: only what these tie together is worked out."""
+    ends = _labelled(_labelled(links, labels, "a", "la"), labels, "b", "lb")
+    groups = stored(components(ends.select(F.col("la").alias("a"), F.col("lb").alias("b"))))
+    if groups.isEmpty():
+        return labels
+    new = groups.join(labels.select("unit"), "unit", "left_anti")
+    old = labels.join(groups.toDF("label", "to"), "label", "left").select("unit", F.coalesce("to", "label").alias("label"))
+    return stored(old.unionByName(new))
+
+
 def _prefix_pairs(crowd: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """Pairs of ``crowd(unit, label)`` with different labels that can be links, found exactly.
 
@@ -161,21 +172,21 @@ def near_groups(units: DataFrame, sets_of: Callable[[DataFrame], DataFrame], rul
     first = stored(stars.groupBy(F.col("unit").alias("b")).agg(F.max("head").alias("h")).select(
         F.col("h.unit").alias("a"), "b"))
     stars = stars.select("unit", F.col("head.unit").alias("head"))
-    links = _verified(first, units, sets, rule)
-    labels = components(links)
+    labels = stored(components(_verified(first, units, sets, rule)))
 
     apart = _labelled(_labelled(stars, labels, "unit", "lu"), labels, "head", "lh").filter("lu != lh")
     second = apart.select(F.col("head").alias("a"), F.col("unit").alias("b")).distinct()
     second = stored(second.join(first, ["a", "b"], "left_anti"))
-    links = links.union(_verified(second, units, sets, rule))
-    labels = stored(components(links))
+    if not second.isEmpty():
+        labels = _joined(labels, _verified(second, units, sets, rule))
 
     crowd = stored(_labelled(crowd, labels, "unit", "label"))
     mixed = crowd.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"))
     mixed = stored(crowd.join(mixed.filter("low != high").select("key"), "key"))
     small = mixed.filter(F.col("members") <= rule.small).select("key", "unit", "label")
-    pairs = small.toDF("key", "a", "la").join(small.toDF("key", "b", "lb"), "key").filter("a < b and la != lb")
-    large = mixed.filter(F.col("members") > rule.small).select("unit", "label").distinct()
-    third = pairs.select("a", "b").union(_prefix_pairs(large, sets, rule)).distinct()
-    third = third.join(first.union(second), ["a", "b"], "left_anti")
-    return components(links.union(_verified(third, units, sets, rule)))
+    third = small.toDF("key", "a", "la").join(small.toDF("key", "b", "lb"), "key").filter("a < b and la != lb").select("a", "b")
+    large = stored(mixed.filter(F.col("members") > rule.small).select("unit", "label").distinct())
+    if not large.isEmpty():
+        third = third.union(_prefix_pairs(large, sets, rule))
+    third = stored(third.distinct().join(first.union(second), ["a", "b"], "left_anti"))
+    return labels if third.isEmpty() else _joined(labels, _verified(third, units, sets, rule))

@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from snapmart.llm import near_dedup, paragraphs
+from snapmart.llm import near, near_dedup, paragraphs
 from snapmart.llm.components import components
 from snapmart.llm.near import Rule, near_groups
 from tests.llm.helpers import SCHEMA, clashing, documents, shingle_set, words
@@ -59,6 +59,25 @@ def test_near_duplicates(spark, small):
     assert len(set(label.values())) < len(ids) - 30
 
 
+def test_later_links_only_tie_groups_together(spark, monkeypatch):
+    """No link is worked out twice: what comes later is given between the groups that are there."""
+    given = []
+
+    def counting(links):
+        given.append({frozenset((r.a, r.b)) for r in links.collect() if r.a != r.b})
+        return components(links)
+
+    monkeypatch.setattr(near, "components", counting)
+    rnd = random.Random(2)
+    units = [(k, 1, sorted(rnd.sample(range(60), 3))) for k in range(1, 61)]
+    # odd and even units are alike among themselves only
+    sets_of = lambda df: df.selectExpr("unit", "cast(repeat(cast(unit % 2 as string), 8) as binary) as set")
+    got = near_groups(spark.createDataFrame(units, "unit long, n long, keys array<long>"), sets_of, Rule()).collect()
+    links = [(a, b) for a, _, x in units for b, _, y in units if a < b and a % 2 == b % 2 and {*x} & {*y}]
+    assert {r.unit: r.label for r in got} == least_reachable({k for e in links for k in e}, links)
+    assert len(given) > 1 and all(given) and sum(map(len, given)) == len(set().union(*given))
+
+
 def test_one_of_each_group_stays(spark):
     rows = documents(2)
     df = clashing(spark.createDataFrame(rows, SCHEMA))
