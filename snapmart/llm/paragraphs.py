@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from snapmart.llm.near import Rule, near_groups, tuned
-from snapmart.llm.shared import same, stored
+from snapmart.llm.shared import discard, same, stored
 from snapmart.llm.words import MULTIPLIER, MinHash, mix, spans, word_hashes
 
 #: 11 bands of 4 values find a pair of similarity 0.8 with probability 0.995, one of 0.9 with 0.99999
@@ -177,6 +177,7 @@ def _repeated(docs: DataFrame, rule: Rule, least_words: int, shingle: int = 5) -
     place = F.struct("doc_id", "paragraph")
     classes = stored(found.groupBy("unit").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("rows")))
     units = stored(signed.filter("keys is not null").groupBy("unit").agg(F.first("keys").alias("keys")))
+    discard(signed)
 
     def sets_of(needed: DataFrame) -> DataFrame:
         ids = classes.join(needed, "unit").select(F.col("first.doc_id").alias("id")).distinct()
@@ -185,6 +186,7 @@ def _repeated(docs: DataFrame, rule: Rule, least_words: int, shingle: int = 5) -
         return sets.join(needed, "unit", "left_semi").groupBy("unit").agg(F.first("set").alias("set"))
 
     groups = near_groups(units, sets_of, rule)
+    discard(units)
     members = classes.join(groups, "unit", "left").withColumn("label", F.coalesce("label", "unit"))
     whole = members.groupBy("label").agg(F.min("first").alias("kept"), F.sum("rows").alias("occurrences"))
     of_unit = stored(members.join(whole.filter("occurrences > 1"), "label").select("unit", "kept", "occurrences"))
@@ -279,14 +281,20 @@ def _runs_of(size: int):
 
 
 def _spots(batches):
-    """Span in code points of each word asked for."""
+    """Span in code points of each word asked for; texts of a slice together."""
     for pdf in batches:
-        for key, text, asked in zip(pdf.key, pdf.text, pdf.asked, strict=True):
+        for part in _together(pdf):
+            text, begins = _parted(part.text)
             raw = np.frombuffer(text, np.uint8)
             starts, ends = spans(raw)
-            points = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
-            asked = np.asarray(asked, np.int64)
-            yield pd.DataFrame({"key": key, "word": asked, "start": points[starts[asked]], "end": points[ends[asked]]})
+            of = np.repeat(np.arange(len(begins)), [len(a) for a in part.asked])
+            asked = np.concatenate([np.asarray(a, np.int64) for a in part.asked])
+            word = asked + np.searchsorted(starts, begins)[of]
+            inner = np.flatnonzero((raw & 0xC0) == 0x80)  # bytes that begin no code point
+            points = lambda at: at - np.searchsorted(inner, at)  # noqa: E731, B023
+            origin = points(begins)[of]
+            yield pd.DataFrame({"key": part.key.to_numpy()[of], "word": asked,
+                                "start": points(starts[word]) - origin, "end": points(ends[word]) - origin})
 
 
 def repeated_runs(docs: DataFrame, size: int = 50) -> DataFrame:
@@ -310,7 +318,8 @@ def repeated_runs(docs: DataFrame, size: int = 50) -> DataFrame:
     blocks = stored(source.mapInPandas(
         _blocks(size), "doc_id long, key long, at long, n long, anchor long, content long"))
     shared = blocks.groupBy("anchor").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("anchor")
-    blocks = stored(blocks.join(shared, "anchor").distinct())
+    everywhere, blocks = blocks, stored(blocks.join(shared, "anchor").distinct())
+    discard(everywhere)
     rows = F.count(F.lit(1)).alias("rows")
     contents = stored(blocks.groupBy("anchor", "content").agg(
         F.min(F.struct("doc_id", "key", "at")).alias("first"), F.max("n").alias("n"), rows))

@@ -15,6 +15,14 @@ def stored(df: DataFrame, compression: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Delete the files of a table that :func:`stored` gave and that nothing still to run reads."""
+    spark = table.sparkSession
+    for path in {file.rpartition("/")[0] for file in table.inputFiles()}:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(path))
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def same(left: Column, right: Column) -> Column:
     """Null-safe equality: nulls are one value."""
     return left.eqNullSafe(right)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import pandas as pd
+
 from snapmart.llm import paragraphs
 from tests.llm.helpers import WORD, words
 
@@ -76,3 +78,23 @@ def test_paragraphs_are_signed_in_the_pass_that_finds_them(spark, monkeypatch):
     got = sorted((r.doc_id, r.paragraph, r.kept_doc_id, r.removed) for r in paragraphs.repeated_paragraphs(df).collect())
     assert got == [(3, 0, 3, False), (4, 0, 4, False), (90, 0, 3, True), (91, 0, 4, True), (91, 2, 4, True)]
     assert sum(map(len, prose)) < cut.value < 1.5 * sum(map(len, prose))
+
+
+def test_spots_of_a_slice_come_together():
+    texts = ["é one\n\n two", "", "ß  three é"]
+    asked = pd.DataFrame({"key": [5, 6, 7], "text": [t.encode() for t in texts], "asked": [[2, 0], [], [1, 2]]})
+    slices = list(paragraphs._spots([asked]))
+    assert len(slices) == 1
+    assert slices[0].values.tolist() == [[5, 2, 8, 11], [5, 0, 0, 1], [7, 1, 3, 8], [7, 2, 9, 10]]
+
+
+def test_tables_that_are_done_with_are_deleted(spark, monkeypatch):
+    """Band keys and the blocks of all texts are gone when the result is there; the result does not need them."""
+    tables, stored = [], paragraphs.stored
+    monkeypatch.setattr(paragraphs, "stored", lambda df: tables.append(stored(df)) or tables[-1])
+    text = " ".join(f"w{k}" for k in range(70))
+    found = paragraphs.repeated_passages(spark.createDataFrame([(1, text), (2, f"head\n{text}")], "doc_id long, text string"))
+    folder = lambda df: spark._jvm.java.io.File(df.inputFiles()[0].removeprefix("file://").rpartition("/")[0])
+    left = [df.columns for df in tables if folder(df).exists()]
+    assert sum("keys" in c for c in left) == 0 and sum("anchor" in c and "at" in c for c in left) == 1
+    assert {(r.kind, r.doc_id, r.removed) for r in found.collect()} == {(k, d, d == 2) for k in ("paragraph", "run") for d in (1, 2)}
